@@ -35,7 +35,7 @@ def clean_label(raw: Column) -> Column:
     strip = lambda token: F.regexp_replace(F.trim(token), r"_\d+$", "")
     parts = F.transform(
         F.split(base, r"\+"),
-        lambda part: F.transform(F.split(part, ";"), strip),
+        lambda part: F.transform(F.split(part, ";"), lambda t: strip(t)),
     )
     broken = F.exists(
         parts, lambda part: F.exists(part, lambda token: F.lower(token).isin(SENTINELS))
@@ -54,7 +54,7 @@ def clean_label(raw: Column) -> Column:
 def target_tokens(ko: Column) -> Column:
     """Target features of a label as an array; the dose suffix is ignored."""
     base = F.substring_index(ko, "@", 1)
-    tokens = F.transform(F.split(F.translate(base, ";", "+"), r"\+"), F.trim)
+    tokens = F.transform(F.split(F.translate(base, ";", "+"), r"\+"), lambda t: F.trim(t))
     return F.filter(tokens, lambda token: token != "")
 
 
@@ -73,7 +73,7 @@ def dose_targets(ko: Column) -> Column:
     """Targets before the last ``@``; a non-numeric suffix belongs to the name."""
     is_dose = ko.contains("@") & F.substring_index(ko, "@", -1).try_cast("double").isNotNull()
     base = F.when(is_dose, F.regexp_replace(ko, r"@[^@]*$", "")).otherwise(ko)
-    tokens = F.transform(F.split(F.translate(base, ";", "+"), r"\+"), F.trim)
+    tokens = F.transform(F.split(F.translate(base, ";", "+"), r"\+"), lambda t: F.trim(t))
     return F.filter(tokens, lambda token: token != "")
 
 
@@ -127,9 +127,9 @@ def guide_targets(guide: Column, sep: str = ";", token_to_target=guide_token_to_
     NULL means unassigned, an empty array means assigned to non-targeting guides only.
     ``token_to_target`` is a Column -> Column function.
     """
-    raw = F.filter(F.transform(F.split(guide, sep, -1), F.trim), lambda t: t != "")
+    raw = F.filter(F.transform(F.split(guide, sep, -1), lambda t: F.trim(t)), lambda t: t != "")
     named = F.filter(
-        F.transform(raw, token_to_target), lambda t: ~F.upper(t).isin(NON_TARGETING_GUIDES)
+        F.transform(raw, lambda t: token_to_target(t)), lambda t: ~F.upper(t).isin(NON_TARGETING_GUIDES)
     )
     unassigned = guide.isNull() | F.lower(F.trim(guide)).isin(UNASSIGNED_GUIDES)
     return F.when(~unassigned, F.array_distinct(named))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deltascreen.functions import labels
 from deltascreen.functions.numeric import clip, two_sided_normal_p
 from deltascreen.functions.tdist import t_two_sided_p
-from deltascreen.operators.scale import axis_array, spread, value_buckets
+from deltascreen.operators.scale import axis_array, cut, spread, value_buckets
 
 # Fold change reported where a mean is zero, and the call threshold.
 CLIP_VALUE = 20.0
@@ -175,9 +175,13 @@ def rank_test(
     expr: DataFrame, cells: DataFrame, genes: DataFrame, kos: DataFrame | None = None,
     min_cells: int = MIN_CELLS, score: str = "log2fc", continuity: bool = False,
 ) -> DataFrame:
-    """Rank statistics, score, and adjustment pooled over all labels and features of a (bin, half)."""
+    """Rank statistics, score, and adjustment pooled over all labels and features of a (bin, half).
+
+    The adjustment passes over the statistics several times, so they are written once first.
+    """
     stats = rank_statistics(expr, cells, genes, kos, min_cells, continuity)
-    return bh_pooled(stats.withColumn("score", effect_score(score)), ["bin", "half"], salt=["ko", "gene"])
+    written = cut(stats.withColumn("score", effect_score(score)), "rank_statistics")
+    return bh_pooled(written, ["bin", "half"], salt=["ko", "gene"])
 
 
 def require_one_control(cells: DataFrame) -> DataFrame:

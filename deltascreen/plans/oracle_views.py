@@ -256,10 +256,10 @@ FROM (SELECT *, count(*) OVER (PARTITION BY bin, half) AS m,
         row_number() OVER (PARTITION BY bin, half ORDER BY p, ko, gene) AS rk FROM de_p) q
 """)
 cte("gw", """
-SELECT bin, ko, gene, CASE WHEN top > 0 THEN a / top ELSE 0e0 END AS w, padj < 0.05 AS deg,
-  CAST(CASE WHEN padj < 0.05 THEN sign(score) ELSE 0 END AS INT) AS dir
+SELECT bin, ko, gene, CASE WHEN top > 0 THEN a / top ELSE 0e0 END AS w, p < 0.2 AS deg,
+  CAST(CASE WHEN p < 0.2 THEN sign(score) ELSE 0 END AS INT) AS dir
 FROM (SELECT *, max(a) OVER (PARTITION BY bin, ko) AS top
-      FROM (SELECT *, CASE WHEN padj < 0.05 AND NOT substituted THEN abs(score) ELSE 0e0 END AS a
+      FROM (SELECT *, CASE WHEN p < 0.2 AND NOT substituted THEN abs(score) ELSE 0e0 END AS a
             FROM deg WHERE half = 'all') q) r
 """)
 cte("norm_stats", """

@@ -154,7 +154,7 @@ def t6(tb):
 
 @query("T7_gene_weights", "SELECT bin, ko, gene, round(w, 6) + 0e0 AS w, deg, dir FROM gw")
 def t7(tb):
-    return rounded(deg.gene_weights(tb.stage("deg").where("half = 'all'")), "w")
+    return rounded(deg.gene_weights(tb.called, alpha=0.2), "w")
 
 
 @query("T8_minmax_weights", """

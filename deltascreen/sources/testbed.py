@@ -17,6 +17,7 @@ from deltascreen.operators.scale import cut
 
 MIN_GENES = 2
 N_FOLDS = 5
+CALL_ALPHA = 0.2
 
 
 class Testbed:
@@ -139,9 +140,9 @@ class Testbed:
         return qc.normalise(self.counts, self.qc_cells.select("cell_id", "total"), depth="total")
 
     # ---- staged tables ---------------------------------------------------------------
-    def stage(self, name: str) -> DataFrame:
+    def stage(self, name: str, build=None) -> DataFrame:
         if name not in self._stages:
-            self._stages[name] = cut(getattr(self, f"_build_{name}")(), name)
+            self._stages[name] = cut((build or getattr(self, f"_build_{name}"))(), name)
         return self._stages[name]
 
     def _build_genes(self):
@@ -169,7 +170,12 @@ class Testbed:
         )
 
     def _build_weights(self):
-        return deg.gene_weights(self.stage("deg").where("half = 'all'"))
+        return deg.gene_weights(self.called, alpha=CALL_ALPHA)
+
+    @property
+    def called(self) -> DataFrame:
+        """Calls on unadjusted p: the given tables hold no effect that survives adjustment."""
+        return self.stage("deg").where("half = 'all'").withColumn("padj", F.col("p"))
 
     def _build_pair_split(self):
         return splits.all_pair_splits(self.pairs, n_folds=N_FOLDS)

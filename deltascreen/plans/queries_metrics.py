@@ -397,8 +397,9 @@ def m20(tb):
     return rounded(both[0].unionByName(both[1]), "value")
 
 
+RAW = f"{ROWKEY}, metric, value, n AS n_genes_valid, native AS n_genes_native"
 cte("m21", "\nUNION ALL\n".join(
-    f"SELECT {COLS} FROM ({PARTS[b]}) z WHERE metric IN ('mse', 'pearson', 'mse_weighted', 'pearson_weighted', 'r2', 'ccc', 'ccc_weighted', 'r2_weighted', 'gsea_up', 'gsea_down', 'frac_correct_direction', 'mse{TOP}', 'pearson{TOP}')"
+    f"SELECT {RAW} FROM ({PARTS[b]}) z WHERE metric IN ('mse', 'pearson', 'mse_weighted', 'pearson_weighted', 'r2', 'ccc', 'ccc_weighted', 'r2_weighted', 'gsea_up', 'gsea_down', 'frac_correct_direction', 'mse{TOP}', 'pearson{TOP}')"
     for b in ("mse", "pearson", "r2", "ccc", "frac_correct_direction", "gsea_up", "gsea_down")))
 HEADLINE_ROWS = ["mse", "pearson", "mse_weighted", "pearson_weighted", "r2", "r2_weighted", "ccc", "ccc_weighted",
                  "gsea_up", "gsea_down", "frac_correct_direction", "mse" + TOP, "pearson" + TOP]
@@ -418,7 +419,7 @@ def scores(tb):
     return tb.stage("scores", build)
 
 
-@query("M21_score_all", "SELECT * FROM kept_scores")
+@query("M21_score_all", f"SELECT {ROWKEY}, metric, round(value, 6) + 0e0 AS value, n_genes_valid, n_genes_native FROM kept_scores")
 def m21(tb):
     return rounded(scores(tb), "value")
 
@@ -434,12 +435,12 @@ def m21b(tb):
 
 @query("M22_metric_catalogue", """
 SELECT metric, metric NOT LIKE 'mse%' AS higher_is_better, CASE WHEN metric LIKE 'mse%' THEN 0e0 ELSE 1e0 END AS perfect,
-  count(*) AS n_rows, round(avg(value), 5) + 0e0 AS mean FROM kept_scores GROUP BY 1
+  count(*) AS n_rows, round(avg(value), 6) + 0e0 AS mean FROM kept_scores GROUP BY 1
 """)
 def m22(tb):
     table = catalogue.metric_table(tb.spark).where("headline")
     return scores(tb).join(table, "metric").groupBy("metric", "higher_is_better", "perfect").agg(
-        F.count(F.lit(1)).alias("n_rows"), r6(F.avg(F.round("value", 6)), 5).alias("mean"))
+        F.count(F.lit(1)).alias("n_rows"), r6(F.avg("value")).alias("mean"))
 
 
 cte("var_w", "SELECT gene, var_samp(d_all) AS vw FROM deltas GROUP BY 1")

@@ -121,8 +121,8 @@ def correlation_kernel(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFram
     r = _matrix(refs["v"])[order]
     q = _matrix(queries["v"])
     den = np.sqrt((q * q).sum(1)[:, None] * (r * r).sum(1)[None, :] + 1e-8)
-    sim = np.round(q @ r.T / den, 9)
-    best = sim.argmax(1)
+    sim = q @ r.T / den
+    best = np.round(sim, 9).argmax(1)
     return pd.DataFrame(
         {"id": queries["id"].to_numpy(), "ref": refs["id"].to_numpy()[order][best],
          "sim": sim[np.arange(len(q)), best]}

@@ -95,5 +95,5 @@ def nearest_reference(queries: DataFrame, references: DataFrame, group: list[str
     parts = blocks.block_join(
         q, r, g, blocks.correlation_kernel, _schema(q, g, "id string, ref string, sim double")
     )
-    best_first = W.partitionBy(*g, "id").orderBy(F.col("sim").desc(), "ref")
+    best_first = W.partitionBy(*g, "id").orderBy(F.round("sim", 9).desc(), "ref")
     return parts.withColumn("r", F.row_number().over(best_first)).where("r = 1").select(*group, "id", "ref", "sim")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
 from deltascreen.functions.numeric import clip, depth_normalise
-from deltascreen.operators.scale import exact_median, scalar
+from deltascreen.operators.scale import cut, exact_median, scalar
 
 # Published defaults of the gates.
 MITO_PREFIXES = ["MT-", "MT_"]
@@ -208,7 +208,11 @@ def cross_check_fraction(frac: DataFrame, shipped: DataFrame) -> DataFrame:
 def mito_threshold(
     frac: DataFrame, floor: float = MITO_FLOOR, cap: float = MITO_CAP, n_mads: float = N_MADS
 ) -> DataFrame:
-    """One row: median, scaled MAD and the clipped cut-off, from exact distributed medians."""
+    """One row: median, scaled MAD and the clipped cut-off, from exact distributed medians.
+
+    The fractions are passed over six times, so the one narrow column is written first.
+    """
+    frac = cut(frac.select("mito_frac"), "mito_frac")
     med = exact_median(frac, [], "mito_frac", "med")
     dev = frac.select(F.abs(F.col("mito_frac") - scalar(med)).alias("dev"))
     mad = exact_median(dev, [], "dev", "mad")

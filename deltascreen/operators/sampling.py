@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
-from deltascreen.operators.scale import hash_rank, running_sum, scalar
+from deltascreen.operators.scale import cut, hash_rank, running_sum, scalar
 
 
 def seeded_digest(seed: int, *keys: str) -> Column:
@@ -109,14 +109,14 @@ def weighted_draws(items: DataFrame, key: list[str], n_draws: int, seed: int = 4
     """
     spark = items.sparkSession
     total = scalar(items.agg(F.sum("weight")))
-    placed = items.withColumn("__u", seeded_uniform(seed, *key))
+    placed = cut(items.withColumn("__u", seeded_uniform(seed, *key)), "draw_items")
     edges = running_sum(placed, [], "__u", "weight", "__to")
     lo, hi = (F.col("__to") - F.col("weight")) / total, F.col("__to") / total
-    cut = lambda c: F.least(F.floor(c * slots), F.lit(slots - 1))
+    slot_of = lambda c: F.least(F.floor(c * slots), F.lit(slots - 1))
     intervals = edges.select(*key, lo.alias("lo"), hi.alias("hi")).withColumn(
-        "slot", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi"))))
+        "slot", F.explode(F.sequence(slot_of(F.col("lo")), slot_of(F.col("hi"))))
     )
     points = spark.range(n_draws).select(
         F.col("id").alias("draw"), seeded_uniform(seed + 1, "id").alias("u")
-    ).withColumn("slot", cut(F.col("u")))
+    ).withColumn("slot", slot_of(F.col("u")))
     return points.join(intervals, "slot").where("u >= lo AND u < hi").select("draw", *key)

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_PANEL = 200_000
-MAX_BUCKETS = 4096
-ROWS_PER_BUCKET = 100_000
+# half-width of the bracket around the middle, and the sketch's accuracy (error 1 / SKETCH)
+BRACKET, SKETCH = 0.002, 10_000
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -65,34 +65,24 @@ def spread(groups: DataFrame, axis: Column, name: str) -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame,
-    keys: list[str],
-    digest: Column,
-    tie: list[str],
-    rank: str = "rank",
-    size: str = "group_size",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, keys: list[str], digest: Column, tie: list[str], rank: str = "rank", size: str = "group_size",
 ) -> DataFrame:
     """Exact 1-based rank by a hex digest inside each group, plus the group size.
 
-    A digest is uniform, so a group of n rows splits into about n / rows_per_bucket equal
-    buckets by digest prefix. Only bucket counts are ranked over the whole group.
+    A digest is uniform, so its first two digits cut every group, hot ones included, into 256
+    equal buckets. Bucket counts (combined before the shuffle) give each bucket its starting rank;
+    rows are only sorted inside their bucket. ``df`` is read twice.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    buckets = F.greatest(
-        F.lit(1), F.least(F.lit(MAX_BUCKETS), F.ceil(F.col(size) / rows_per_bucket))
-    )
-    head = F.conv(F.substring("__digest", 1, 7), 16, 10).cast("long")
-    sized = df.join(sizes, keys) if keys else df.withColumn(size, scalar(sizes))
-    marked = (
-        sized.withColumn("__digest", digest)
-        .withColumn("__bucket", F.floor(head * buckets / F.lit(2**28)).cast("int"))
-    )
-    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    marked = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 2))
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         marked.groupBy(*keys, "__bucket")
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+        .select(
+            *keys, "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"),
+            F.sum("__rows").over(whole).alias(size),
+        )
     )
     inside = W.partitionBy(*keys, "__bucket").orderBy("__digest", *tie)
     return (
@@ -143,47 +133,42 @@ def running_sum(
     )
 
 
-def exact_median(
-    df: DataFrame, keys: list[str], value: str, out: str = "median", n_buckets: int = 256
-) -> DataFrame:
-    """Exact median per group without gathering the group: ties collapse first, then only the
-    buckets that hold the middle rows are sorted."""
-    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    marked = value_buckets(ties, keys, value, n_buckets)
-    to_here = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    spans = (
-        marked.groupBy(*keys, "__bucket")
-        .agg(F.sum("__c").alias("__rows"))
-        .withColumn("__end", F.sum("__rows").over(to_here))
-        .withColumn("__n", F.sum("__rows").over(whole))
-        .withColumn("__start", F.col("__end") - F.col("__rows"))
-        .withColumn("__lo", F.floor((F.col("__n") - 1) / 2))
-        .withColumn("__hi", F.floor(F.col("__n") / 2))
-        .where(
-            ((F.col("__start") <= F.col("__lo")) & (F.col("__lo") < F.col("__end")))
-            | ((F.col("__start") <= F.col("__hi")) & (F.col("__hi") < F.col("__end")))
-        )
-        .select(*keys, "__bucket", "__start", "__lo", "__hi")
-    )
-    inside = (
-        W.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    )
-    placed = (
-        marked.join(spans, [*keys, "__bucket"])
-        .withColumn("__to", F.col("__start") + F.sum("__c").over(inside))
-        .withColumn("__from", F.col("__to") - F.col("__c"))
-    )
-    hit = lambda r: (F.col("__from") <= F.col(r)) & (F.col(r) < F.col("__to"))
-    weight = hit("__lo").cast("int") + hit("__hi").cast("int")
-    return (
-        placed.withColumn("__w", weight)
-        .where("__w > 0")
-        .groupBy(*keys)
-        .agg((F.sum(F.col(value) * F.col("__w")) / F.lit(2.0)).alias(out))
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group from partial aggregates only.
+
+    A mergeable sketch brackets the middle between two values; one pass counts what lies below,
+    one collapses the few values inside to counts, and only those are sorted. A sketch that
+    missed the middle would fail the job, never shift the result. ``df`` is read three times.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    ends = F.percentile_approx("__v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), F.lit(SKETCH))
+    bracket = rows.groupBy(*keys).agg(ends.alias("__e"))
+    framed = rows.join(bracket, keys) if keys else rows.withColumn("__e", scalar(bracket))
+    low, high = F.col("__e")[0], F.col("__e")[1]
+    n = F.count(F.lit(1))
+    place = framed.groupBy(*keys).agg(
+        F.count_if(F.col("__v") < low).alias("__below"),
+        F.floor((n - 1) / 2).alias("__lo"), F.floor(n / 2).alias("__hi"),
     )
+    ties = framed.where(F.col("__v").between(low, high)).groupBy(*keys, "__v").agg(n.alias("__c"))
+    order = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    run = ties.withColumn("__run", F.sum("__c").over(order))
+    if keys:
+        run = run.join(place, keys)
+    else:
+        one = scalar(place.select(F.struct("__below", "__lo", "__hi").alias("s")))
+        run = run.withColumn("__p", one).select("*", "__p.*")
+    upto = F.col("__below") + F.col("__run")
+    since = upto - F.col("__c")
+    hit = lambda r: ((since <= F.col(r)) & (F.col(r) < upto)).cast("int")
+    weight = hit("__lo") + hit("__hi")
+    median = F.when(
+        F.sum("__w") == 2, F.sum(F.col("__v") * F.col("__w")) / F.lit(2.0)
+    ).otherwise(F.raise_error(F.lit("median outside its bracket")).cast("double"))
+    result = run.withColumn("__w", weight).groupBy(*keys).agg(median.alias(out), n.alias("__n"))
+    # an empty input has no group (keyed) or a NULL median (global)
+    return result.select(*keys, out) if keys else result.select(
+        F.when(F.col("__n") > 0, F.col(out)).alias(out))
 
 
 def tile(rank: Column, size: Column, n: int) -> Column:

@@ -12,7 +12,7 @@ SELECT h.bin, h.condition, e.gene, round(sum(x), 6) + 0e0 AS sx, round(sum(x * x
 FROM fx_expr e JOIN hcells h ON h.cell_id = e.cell_id GROUP BY 1, 2, 3
 """)
 def a1(tb):
-    return rounded(bulk.grouped_sum(tb.expr, tb.qc_cells, ["bin", "condition"]), "sx", "sxx")
+    return rounded(bulk.grouped_sum(tb.stage("expr"), tb.qc_cells, ["bin", "condition"]), "sx", "sxx")
 
 
 @query("A2_grouped_sum_sq", """
@@ -20,17 +20,17 @@ SELECT gene, round(sum(x), 6) + 0e0 AS sx, round(sum(x * x), 6) + 0e0 AS sxx, co
 FROM fx_expr e JOIN hcells h ON h.cell_id = e.cell_id GROUP BY gene, batch
 """)
 def a2(tb):
-    return rounded(bulk.grouped_sum(tb.expr, tb.qc_cells, ["batch"]), "sx", "sxx")
+    return rounded(bulk.grouped_sum(tb.stage("expr"), tb.qc_cells, ["batch"]), "sx", "sxx")
 
 
 @query("A3_pseudobulk", "SELECT bin, ko, half, gene, round(m, 6) + 0e0 AS m, n_cells FROM bulk")
 def a3(tb):
-    return rounded(bulk.half_bulk(tb.expr, tb.half_cells, tb.genes), "m")
+    return rounded(bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes), "m")
 
 
 @query("A3_control_bulk", "SELECT bin, gene, round(m, 6) + 0e0 AS m, n_cells FROM ctrl_bulk")
 def a3b(tb):
-    return rounded(bulk.control_bulk(tb.expr, tb.qc_cells, tb.genes), "m")
+    return rounded(bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes), "m")
 
 
 @query("A4_deltas", """
@@ -38,8 +38,8 @@ SELECT bin, ko, gene, round(d_all, 6) + 0e0 AS d_all, round(d_first, 6) + 0e0 AS
   round(m_all, 6) + 0e0 AS m_all, round(ctrl, 6) + 0e0 AS ctrl FROM deltas
 """)
 def a4(tb):
-    b = bulk.half_bulk(tb.expr, tb.half_cells, tb.genes)
-    d = bulk.deltas(b, bulk.control_bulk(tb.expr, tb.qc_cells, tb.genes))
+    b = bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes)
+    d = bulk.deltas(b, bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes))
     return rounded(d, "d_all", "d_first", "d_second", "m_all", "ctrl")
 
 
@@ -71,7 +71,7 @@ def a12(tb):
 SELECT bin, half, ko, gene, round(u, 6) + 0e0 AS u, round(z, 6) + 0e0 AS z, round(p, 6) + 0e0 AS p FROM de_p
 """)
 def t1(tb):
-    stats = deg.rank_statistics(tb.expr, tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
+    stats = deg.rank_statistics(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
     return rounded(stats, "u", "z", "p").select("bin", "half", "ko", "gene", "u", "z", "p")
 
 
@@ -125,7 +125,7 @@ FROM (SELECT *, s / n AS mg, (ts - s) / (tn - n) AS mr,
 SELECT bin, half, ko, gene, round(t, 6) + 0e0 AS t, round(df, 5) + 0e0 AS df FROM welch
 """)
 def t4(tb):
-    w = deg.welch_statistics(tb.expr, tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
+    w = deg.welch_statistics(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
     return w.select("bin", "half", "ko", "gene", r6("t").alias("t"), r6("df", 5).alias("df"))
 
 

@@ -279,3 +279,24 @@ def u3(tb):
     from deltascreen.operators import qc
 
     return qc.target_genes(tb.cells).subtract(tb.genes.select("gene"))
+
+
+@query("flagship_unseen_pert", f"""
+SELECT scenario, fold, predictor, bin, ko, metric, round(value, 6) + 0e0 AS value, CAST(25 AS BIGINT) AS n_genes_valid, CAST(25 AS BIGINT) AS n_genes_native
+FROM m_flag
+""")
+def flag(tb):
+    from deltascreen.plans.flagship import flagship
+
+    return flagship(tb.spark, tb.dir)
+
+
+cte("flag_rows", """
+SELECT 'Mean-over-perturbations' AS predictor, g.scenario, g.fold, g.bin, g.ko, g.gene, m.m AS p, g.d_first AS t FROM grid g
+JOIN mean_bin m ON m.scenario = g.scenario AND m.fold = g.fold AND m.bin = g.bin AND m.gene = g.gene WHERE g.scenario = 'UnseenPert'
+""")
+cte("m_flag", """
+SELECT predictor, scenario, fold, bin, ko, 'mse' AS metric, avg((p - t) * (p - t)) AS value FROM flag_rows GROUP BY 1, 2, 3, 4, 5
+UNION ALL SELECT predictor, scenario, fold, bin, ko, 'mae', avg(abs(p - t)) FROM flag_rows GROUP BY 1, 2, 3, 4, 5
+UNION ALL SELECT predictor, scenario, fold, bin, ko, 'pearson', corr(p, t) FROM flag_rows GROUP BY 1, 2, 3, 4, 5
+""")

@@ -36,14 +36,21 @@ class Testbed:
             brand
         )
 
-    @cached_property
+    @property
     def genes(self) -> DataFrame:
+        return self.stage("genes")
+
+    def _build_genes(self) -> DataFrame:
         named = self.table("part").select(self._gene(F.col("p_brand")).alias("gene")).distinct()
         return bulk.number_genes(named).withColumn("is_mt", F.col("gene").startswith("MT-"))
 
-    @cached_property
+    @property
     def counts(self) -> DataFrame:
-        """One row per (cell, gene); clustered by cell so that later per-cell steps need no shuffle."""
+        """The stored count table every job starts from."""
+        return self.stage("counts")
+
+    def _build_counts(self) -> DataFrame:
+        """One row per (cell, gene), one shuffle, cells kept together in the files."""
         part = self.table("part").select("p_partkey", self._gene(F.col("p_brand")).alias("gene"))
         items = self.table("lineitem").select(
             F.col("l_orderkey").alias("cell_id"),
@@ -123,9 +130,12 @@ class Testbed:
     def totals(self) -> DataFrame:
         return qc.cell_totals(self.counts)
 
-    @cached_property
+    @property
     def qc_cells(self) -> DataFrame:
-        """Cells that pass the minimum-genes gate, with their total."""
+        """Cells that pass the minimum-genes gate, with their total (stored)."""
+        return self.stage("qc_cells")
+
+    def _build_qc_cells(self) -> DataFrame:
         return self.cells.join(
             self.totals.where(F.col("n_genes") >= MIN_GENES).select("cell_id", "total"), "cell_id"
         )
@@ -145,9 +155,6 @@ class Testbed:
             self._stages[name] = cut((build or getattr(self, f"_build_{name}"))(), name)
         return self._stages[name]
 
-    def _build_genes(self):
-        return self.genes
-
     def _build_half_cells(self):
         return self.half_cells
 

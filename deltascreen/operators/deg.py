@@ -15,6 +15,8 @@ from deltascreen.operators.scale import axis_array, cut, spread, value_buckets
 CLIP_VALUE = 20.0
 ALPHA = 0.05
 MIN_CELLS = 4
+# value buckets of the rank test per doubling of the value
+STEPS_PER_OCTAVE = 8
 
 
 def bh_rows(df: DataFrame, row: list[str], p: str = "p", tie: str = "gene", out: str = "padj") -> DataFrame:
@@ -84,8 +86,10 @@ def rank_statistics(
 ) -> DataFrame:
     """Tie-corrected Mann-Whitney U of every label against its bin's controls, per half and feature.
 
-    Values collapse to histograms per (bin, half, label, feature) before the one ordered window;
-    implicit zeros never become rows, they enter U and the tie term in closed form.
+    The entries are shuffled once, by (bin, half, feature, value bucket): buckets are steps of the
+    logarithm, so a feature of a hot bin is split over many tasks. Ranks inside a bucket come from
+    one ordered window; bucket totals carry the control counts below. Implicit zeros never become
+    rows, they enter U and the tie term in closed form.
     """
     ctrl = labels.is_control(F.col("condition"))
     used = cells.select("cell_id", "bin", "half", "condition")
@@ -98,27 +102,40 @@ def rank_statistics(
         .withColumn("half", both)
         .groupBy("bin", "half", "condition").agg(F.sum("n").alias("n"))
     )
+    place = ["bin", "half", "gene", "bucket"]
     hist = (
         expr.select("cell_id", "gene", "v").join(used, "cell_id")
-        .groupBy("bin", "half", "condition", "gene", "v").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("half", both)
-        .groupBy("bin", "half", "condition", "gene", "v").agg(F.sum("n").alias("n"))
+        .withColumn("bucket", F.floor(F.log2("v") * STEPS_PER_OCTAVE).cast("int"))
+        .repartition(*place)
+        .groupBy(*place, "condition", "v").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("is_ctrl", ctrl)
     )
-    n_ctrl = F.when(ctrl, F.col("n")).otherwise(0)
-    place = W.partitionBy("bin", "half", "gene")
-    upto = place.orderBy("v").rangeBetween(W.unboundedPreceding, 0)
-    here = W.partitionBy("bin", "half", "gene", "v")
-    c_eq, n = F.col("c_eq"), F.col("n")
-    stats = (
-        hist.repartition("bin", "half", "gene")
-        .withColumn("c_le", F.sum(n_ctrl).over(upto))
-        .withColumn("c_eq", F.sum(n_ctrl).over(here))
-        .groupBy("bin", "half", "gene", "condition")
+    n = F.col("n")
+    # a control row comes first among equal values, so it is the last control seen by its ties
+    walk = W.partitionBy(*place).orderBy("v", F.col("is_ctrl").desc()).rowsBetween(W.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("is_ctrl"), F.struct("v", "n")), ignorenulls=True).over(walk)
+    c_eq = F.col("c_eq")
+    local = (
+        hist.withColumn("c_le", F.sum(F.when(F.col("is_ctrl"), n).otherwise(0)).over(walk))
+        .withColumn("seen", seen)
+        .withColumn("c_eq", F.when(F.col("seen.v") == F.col("v"), F.col("seen.n")).otherwise(0))
+        .groupBy(*place, "condition", "is_ctrl")
         .agg(
             F.sum(n).alias("nnz"),
             F.sum(n * F.log1p("v")).alias("sx"),
-            F.sum(n * (F.col("c_le") - c_eq / 2.0)).alias("u_nz"),
-            F.sum(F.when(ctrl, _ties(n)).otherwise(_ties(c_eq + n) - _ties(c_eq))).alias("ties"),
+            F.sum(n * (F.col("c_le") - c_eq / 2.0)).alias("u_in"),
+            F.sum(F.when(F.col("is_ctrl"), _ties(n)).otherwise(_ties(c_eq + n) - _ties(c_eq))).alias("ties"),
+        )
+    )
+    below = W.partitionBy("bin", "half", "gene").orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
+    stats = (
+        local.withColumn("c_below", F.coalesce(
+            F.sum(F.when(F.col("is_ctrl"), F.col("nnz")).otherwise(0)).over(below), F.lit(0)))
+        .groupBy("bin", "half", "gene", "condition")
+        .agg(
+            F.sum("nnz").alias("nnz"), F.sum("sx").alias("sx"), F.sum("ties").alias("ties"),
+            F.sum(F.col("u_in") + F.col("nnz") * F.col("c_below")).alias("u_nz"),
         )
     )
     control = stats.where(ctrl).select(

@@ -19,7 +19,7 @@ def session(cores=8):
 
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -128,6 +128,8 @@ def rank_statistics(
             F.sum(F.when(F.col("is_ctrl"), _ties(n)).otherwise(_ties(c_eq + n) - _ties(c_eq))).alias("ties"),
         )
     )
+    # read by the control side and the label side: written once, so the big shuffle runs once
+    local = cut(local, "rank_local")
     below = W.partitionBy("bin", "half", "gene").orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
     stats = (
         local.withColumn("c_below", F.coalesce(

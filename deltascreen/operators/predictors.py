@@ -31,6 +31,7 @@ class Screen:
     split: DataFrame
     alpha: DataFrame | None = None
     options: dict = field(default_factory=dict)
+    rect_table: DataFrame | None = None  # the test rectangle of ``split``, when it is stored
 
     @property
     def train(self) -> DataFrame:
@@ -38,6 +39,8 @@ class Screen:
 
     @property
     def rect(self) -> DataFrame:
+        if self.rect_table is not None:
+            return self.rect_table
         return splits.rectangle(self.split, "test")
 
     @property
@@ -92,9 +95,10 @@ def require_rows(df: DataFrame, screen: Screen, message: str) -> DataFrame:
 def run(name: str, screen: Screen) -> DataFrame:
     """Predictions of one predictor on the scenarios it serves."""
     spec = REGISTRY[name]
+    served = F.col("scenario").isin(spec.scenarios)
     scoped = Screen(
-        screen.deltas, screen.ctrl, screen.genes,
-        screen.split.where(F.col("scenario").isin(spec.scenarios)), screen.alpha, screen.options,
+        screen.deltas, screen.ctrl, screen.genes, screen.split.where(served), screen.alpha, screen.options,
+        None if screen.rect_table is None else screen.rect_table.where(served),
     )
     return spec.fn(scoped).withColumn("predictor", F.lit(name))
 

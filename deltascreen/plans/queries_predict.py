@@ -8,10 +8,13 @@ from deltascreen.plans.registry import cte, query, r6, rounded
 
 def screen(tb, *scenarios):
     split = tb.stage("pair_split")
+    rect = tb.stage("rect")
     if scenarios:
         split = split.where(F.col("scenario").isin(*scenarios))
+        rect = rect.where(F.col("scenario").isin(*scenarios))
     return predictors.Screen(
-        tb.stage("deltas"), tb.stage("ctrl"), tb.stage("genes"), split, deg.interpolation_alpha(tb.stage("deg"))
+        tb.stage("deltas"), tb.stage("ctrl"), tb.stage("genes"), split,
+        deg.interpolation_alpha(tb.stage("deg")), rect_table=rect,
     )
 
 

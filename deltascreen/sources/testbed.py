@@ -187,6 +187,9 @@ class Testbed:
     def _build_pair_split(self):
         return splits.all_pair_splits(self.pairs, n_folds=N_FOLDS)
 
+    def _build_rect(self):
+        return splits.rectangle(self.stage("pair_split"), "test")
+
     @property
     def kos(self) -> DataFrame:
         return self.stage("deltas").select("ko").distinct()

@@ -25,6 +25,7 @@ MAX_ITEM_WORDS = 5_000_000
 #: Cells of alignments held in memory at once.
 CELLS = 1 << 19
 GAP, MISMATCH = 1, 1
+MATCH = "id long, text_key long, item_id long, score double, first_word long, last_word long"
 
 
 def _hasher() -> WordHasher:
@@ -152,16 +153,16 @@ def _passages(docs: DataFrame, items: Items, seeds: list[int], reach: int) -> Da
                 n = len(cut)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(uid, uid + n)), batch.column(0).take(pa.array(owner[at[cut]] + start)),
+                        pa.array(np.arange(uid, uid + n)), *(batch.column(c).take(pa.array(owner[at[cut]] + start)) for c in (0, 2)),
                         pa.array(low[cut] - heads[owner[at[cut]]]),
                         pa.array([coded[low[i] : high[j - 1]] for i, j in zip(cut, ends, strict=True)], pa.list_(pa.int32())),
                         pa.array([np.unique(number[i:j]) for i, j in zip(cut, ends, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["uid", "id", "first", "words", "grams"],
+                    names=["uid", "id", "text_key", "first", "words", "grams"],
                 )
                 uid += n
 
-    return docs.mapInArrow(run, "uid long, id long, first long, words array<int>, grams array<long>")
+    return docs.mapInArrow(run, "uid long, id long, text_key long, first long, words array<int>, grams array<long>")
 
 
 def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +196,14 @@ def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
 
 
 def _scores(pairs: DataFrame, min_score: float) -> DataFrame:
-    """``(id, item_id, score, first_word, last_word)`` of the pairs that reach ``min_score``."""
-    names = ["id", "item_id", "score", "first_word", "last_word"]
+    """``(id, text_key, item_id, score, first_word, last_word)`` of the pairs that reach ``min_score``."""
+    names = ["id", "text_key", "item_id", "score", "first_word", "last_word"]
 
     def run(batches):
         for batch in batches:
-            words = [np.array(x, dtype=np.int32) for x in batch.column(2).to_pylist()]
-            item = [np.array(x, dtype=np.int32) for x in batch.column(4).to_pylist()]
-            first = batch.column(1).to_numpy()
+            words = [np.array(x, dtype=np.int32) for x in batch.column("words").to_pylist()]
+            item = [np.array(x, dtype=np.int32) for x in batch.column("item_words").to_pylist()]
+            first = batch.column("first").to_numpy()
             # an alignment has no more equal words than both sides share: too few, and it can't reach the score
             able = [i for i, (w, t) in enumerate(zip(words, item, strict=True)) if np.isin(t, w).sum() >= min_score * len(t)]
             able.sort(key=lambda i: (len(words[i]), len(item[i])))
@@ -220,13 +221,13 @@ def _scores(pairs: DataFrame, min_score: float) -> DataFrame:
                 start = first[some] + end[hit] - length
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(some)), batch.column(3).take(pa.array(some)),
+                        *(batch.column(c).take(pa.array(some)) for c in ("id", "text_key", "item_id")),
                         pa.array(best[hit] / size[hit]), pa.array(start), pa.array(first[some] + end[hit] - 1),
                     ],
                     names=names,
                 )
 
-    return pairs.mapInArrow(run, "id long, item_id long, score double, first_word long, last_word long")
+    return pairs.mapInArrow(run, MATCH)
 
 
 def contaminated(
@@ -241,28 +242,35 @@ def contaminated(
     give one row for each item, with the best score. A null id is a document of its own id; an item
     without an id is ignored. Other columns are ignored; an empty table gives an empty result.
     """
-    items = _read_items(benchmark, item_col, item_text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    spark = docs.sparkSession
-    counts = {r.gram: r.n for r in _gram_counts(rows.select("text"), items).collect()} if len(items.distinct) else {}
-    seeds = items.seeds(counts)
-    reach = 2 * items.longest
-    found = stage(_passages(rows, items, sorted({g for g, _ in seeds}), reach), "passages") if seeds else None
-    schema = "id long, item_id long, score double, first_word long, last_word long"
-    if found is None:
-        best = spark.createDataFrame([], schema)
-    else:
-        of_gram = spark.createDataFrame(seeds, "gram long, item int")
-        coded = [np.searchsorted(items.vocabulary, w).tolist() for w in items.words]
-        of_item = spark.createDataFrame(list(zip(range(len(coded)), items.ids, coded, strict=True)), "item int, item_id long, item_words array<int>")
-        pairs = found.select("uid", F.explode("grams").alias("gram")).join(of_gram, "gram").select("uid", "item").distinct()
-        full = found.select("uid", "id", "first", "words").join(pairs, "uid").join(of_item, "item")
-        best = _scores(full.select("id", "first", "words", "item_id", "item_words"), min_score)
+    best = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, min_score)
     top = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     return best.groupBy("id", "item_id").agg(top.alias("top")).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "top.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that repeat a benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_score: float) -> DataFrame:
+    """Alignments of passages; ``text_key`` tells rows of one id, or without an id, apart by their texts."""
+    items = _read_items(benchmark, item_col, item_text_col)
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    spark = docs.sparkSession
+    if not len(items.distinct):
+        return spark.createDataFrame([], MATCH)
+    seeds = items.seeds({r.gram: r.n for r in _gram_counts(rows.select("text"), items).collect()})
+    found = stage(_passages(rows, items, sorted({g for g, _ in seeds}), 2 * items.longest), "passages")
+    of_gram = spark.createDataFrame(seeds, "gram long, item int")
+    coded = [np.searchsorted(items.vocabulary, w).tolist() for w in items.words]
+    of_item = spark.createDataFrame(list(zip(range(len(coded)), items.ids, coded, strict=True)), "item int, item_id long, item_words array<int>")
+    pairs = found.select("uid", F.explode("grams").alias("gram")).join(of_gram, "gram").select("uid", "item").distinct()
+    full = found.select("uid", "id", "text_key", "first", "words").join(pairs, "uid").join(of_item, "item")
+    return _scores(full.select("id", "text_key", "first", "words", "item_id", "item_words"), min_score)
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", min_score: float = MIN_SCORE,
+) -> DataFrame:
+    """``docs`` without the rows whose text repeats a benchmark item."""
+    found = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, min_score)
+    found = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_key"))
+    return docs.join(found, same, "left_anti")

@@ -110,7 +110,10 @@ def _lines(row: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, features)``: mean and root mean square of the word vectors; zeros without words."""
+    """``(id, text_key, features)``: mean and root mean square of the word vectors; zeros without words.
+
+    ``text_key`` tells the rows of one id, or without an id, apart by their texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
@@ -125,10 +128,11 @@ def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_co
                 out[first + mine, :DIMS] = np.add.reduceat(words, heads, axis=0) / counts[:, None]
                 out[first + mine, DIMS:] = np.sqrt(np.add.reduceat(words * words, heads, axis=0) / counts[:, None])
             flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), 2 * DIMS).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], names=["id", "text_key", "features"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, features array<float>")
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
+    return rows.mapInArrow(run, "id long, text_key long, features array<float>")
 
 
 @dataclass
@@ -200,6 +204,11 @@ def quality_scores(
     no labels the score is 0.5, with one label only it is that label. Other columns are ignored; an
     empty table gives an empty result.
     """
+    scored = _scored(docs, labels, id_col, text_col, label_col, max_labelled)
+    return scored.select(F.col("id").alias(id_col), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int) -> DataFrame:
     features = stage(pooled(docs, word_vectors(docs, text_col), id_col, text_col), "document-vectors")
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     known = features.where(fold("id") != 0).join(marked, "id").select("features", "label", fold("id").alias("fold"), F.xxhash64("id").alias("at"))
@@ -209,18 +218,18 @@ def quality_scores(
 
     def run(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, 2 * DIMS).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(x))], names=["id", "score"])
-
-    scored = features.mapInArrow(run, "id long, score double")
-    return scored.select(F.col("id").alias(id_col), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score")
+            x = batch.column(2).flatten().to_numpy().reshape(-1, 2 * DIMS).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(net.scores(x))], names=["id", "text_key", "score"])
 
+    return features.mapInArrow(run, "id long, text_key long, score double")
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is below ``threshold``.
 
-    A document with several rows goes if one of them is rejected.
-    """
-    scores = quality_scores(docs, labels, id_col, text_col)
-    rejected = scores.where(F.col("score") < threshold).select(F.col(id_col).alias("_rejected")).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_rejected"]), "left_anti")
+def keep_good(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "quality", max_labelled: int = MAX_LABELLED,
+) -> DataFrame:
+    """``docs`` without the rows whose score is below ``threshold``; each row is judged by its own text."""
+    scores = _scored(docs, labels, id_col, text_col, label_col, max_labelled)
+    rejected = scores.where(F.col("score") < threshold).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_key"))
+    return docs.join(rejected, same, "left_anti")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.llm import decontamination, packing, quality, simhash
-from deltascreen.llm.common import table
+from deltascreen.llm import decontamination, packing, quality, secrets, simhash
+from deltascreen.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@query("op3_secret_scans", secrets.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
+    counts = [F.size(secrets.of_kinds(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    digest = F.sha2(secrets.joined_spans(secrets.of_kinds(*secrets.BASE)), 256)
+    return found.select(F.col("path").alias("doc_id"), *counts, digest.alias("base_sha256"), secrets.joined_spans(F.col("findings")).alias("spans"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -219,6 +220,12 @@ def _compare(key: np.ndarray, home: np.ndarray, prints: np.ndarray, distance: in
         at = to
 
 
+def _with_roots(classes: DataFrame, distance: int) -> DataFrame:
+    """``classes`` (one row for each print) with ``root``, a print that stands for the component."""
+    joined = connected_components(near_links(classes, distance))
+    return classes.join(joined, classes.print == joined.node, "left").select(*classes.columns, F.coalesce("component", "print").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row for each row of ``docs``: id, ``print`` (signed long) and ``component``.
 
@@ -230,11 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = stage(prints.groupBy("print").agg(F.min(id_col).alias("least")), "print-classes")
-    joined = connected_components(near_links(classes, distance))
-    labelled = classes.join(joined, classes.print == joined.node, "left").select(
-        "print", "least", F.coalesce("component", "print").alias("root")
-    )
-    labelled = stage(labelled, "print-roots")
+    labelled = stage(_with_roots(classes, distance), "print-roots")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     of_print = labelled.join(smallest, "root").select("print", "component")
     return prints.join(of_print, "print").select(id_col, "print", "component")
@@ -243,3 +246,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def hexadecimal(column: str = "print"):
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, one with its smallest id.
+
+    Rows without an id come last, so they are kept where no row of their component has an id. Rows
+    that share an id are told apart: each stands for its own text.
+    """
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64))
+
+    marked = docs.withColumns({"_print": print_of(whole_text(text_col).cast("binary")), "_row": F.monotonically_increasing_id()})
+    marked = stage(marked, "marked")  # row numbers are those that were written
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
+    classes = stage(marked.groupBy(F.col("_print").alias("print")).agg(first.alias("first")), "print-classes")
+    kept = _with_roots(classes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return marked.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.llm import decontamination, packing, quality, secrets, simhash
+from deltascreen.llm import decontamination, licenses, packing, quality, secrets, simhash, urls
 from deltascreen.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(secrets.of_kinds(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
     digest = F.sha2(secrets.joined_spans(secrets.of_kinds(*secrets.BASE)), 256)
     return found.select(F.col("path").alias("doc_id"), *counts, digest.alias("base_sha256"), secrets.joined_spans(F.col("findings")).alias("spans"))
+
+
+@query("op4_url_filters")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op7_license_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    joined = {"base_labels": F.array_join("base", ","), "labels": F.array_join("labels", ",")}
+    return found.withColumns(joined).drop("base")

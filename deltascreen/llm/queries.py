@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.llm import chat, decontamination, licenses, packing, quality, secrets, simhash, token_counts, urls
+from deltascreen.llm import chat, decontamination, embeddings, licenses, packing, quality, secrets, simhash, token_counts, urls
 from deltascreen.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = token_counts.update_counts(token_counts.redactions(docs, PERSONAL, "[PERSONAL]"), *vocabulary)
     counts = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return after.withColumns(counts).select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_chars", "reencoded_chars")
+
+
+@query("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

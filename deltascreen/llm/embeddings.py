@@ -25,12 +25,12 @@ from deltascreen.llm.components import connected_components, forest
 THRESHOLD = 0.93
 #: Classes that a cluster has on average, and that a chunk has; clusters and sampled classes at most.
 CLUSTER, CHUNK, MAX_CLUSTERS, SAMPLE = 1024, 1024, 4096, 40_000
-#: Neighbours of a node, candidates for them, and the slack with which a near one replaces a far one.
-DEGREE, CANDIDATES, ALPHA = 16, 64, 1.2
+#: Neighbours of a node, near and far candidates for them, and the slack with which a near one replaces a far one.
+DEGREE, CANDIDATES, FAR, ALPHA = 16, 64, 32, 1.2
 #: Nodes that a greedy search keeps, and how far below the threshold the range search goes on.
 BEAM, SLACK = 32, 0.05
 #: Shards of a class in the first attempt and in the next ones, classes in the audit, recall wanted.
-OVERLAP, AUDITED, RECALL = (2, 4, 8), 256, 0.99
+OVERLAP, AUDITED, RECALL = (2, 4, 8), 256, 0.97
 SEED = 5
 
 
@@ -109,12 +109,15 @@ def robust_prune(x: np.ndarray) -> list[np.ndarray]:
     if width <= 0:
         return [np.zeros(0, dtype=np.int64) for _ in range(n)]
     near = np.argpartition(-likeness, width - 1, axis=1)[:, :width]
+    # far candidates keep dense groups joined to each other and to the rest
+    other = np.random.default_rng(SEED).integers(1, n, (n, FAR))
+    near = np.concatenate([near, (np.arange(n)[:, None] + other) % n], axis=1)
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(likeness, near, axis=1), axis=1, kind="stable"), axis=1)
     far = 1 - np.take_along_axis(likeness, near, axis=1)
     open_ = np.ones_like(near, dtype=bool)
     kept: list[list[int]] = [[] for _ in range(n)]
     rows = np.arange(n)
-    for _ in range(min(DEGREE, width)):
+    for _ in range(DEGREE):
         pick = open_.argmax(axis=1)
         live = open_[rows, pick]
         if not live.any():
@@ -125,8 +128,8 @@ def robust_prune(x: np.ndarray) -> list[np.ndarray]:
         open_[rows, pick] = False
         between = 1 - likeness[chosen[:, None], near]
         open_ &= ~(live[:, None] & (ALPHA * between <= far))
-    linked: list[set[int]] = [set(k) for k in kept]
-    for i, own in enumerate(kept):  # both ways, so that every node can be reached
+    linked: list[set[int]] = [{*k, *near[i, : max(0, DEGREE // 2 - len(k))].tolist()} for i, k in enumerate(kept)]
+    for i, own in enumerate([sorted(s) for s in linked]):  # both ways, so that every node can be reached
         for j in own:
             linked[j].add(i)
     return [np.array(sorted(s), dtype=np.int64) for s in linked]

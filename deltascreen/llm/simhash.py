@@ -148,14 +148,12 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = 3, m:
     wide = anchors.join(hot, "anchor", "left").withColumns(
         {"rows": F.coalesce("rows", F.lit(1)), "cols": F.coalesce("cols", F.lit(1)), "at": F.xxhash64("print")}
     )
-    # a home meets every chunk of visitors, a visitor every chunk of homes
-    chunk = F.when(
-        F.col("home"),
-        F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.expr("cast(pmod(at, rows) as int)") * F.col("cols") + j),
-    ).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: i * F.col("cols") + F.expr("cast(pmod(at, cols) as int)"))
-    )
-    dealt = wide.select("anchor", F.explode(chunk).alias("chunk"), "home", "print")
+    # a home meets every chunk of visitors, a visitor every chunk of homes; split homes visit each other
+    row, col = F.expr("cast(pmod(at, rows) as int)"), F.expr("cast(pmod(at, cols) as int)")
+    as_home = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct((row * F.col("cols") + j).alias("chunk"), F.lit(True).alias("home")))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct((i * F.col("cols") + col).alias("chunk"), F.lit(False).alias("home")))
+    places = F.when(~F.col("home"), as_guest).when(F.col("rows") > 1, F.concat(as_home, as_guest)).otherwise(as_home)
+    dealt = wide.select("anchor", F.explode(places).alias("place"), "print").select("anchor", "place.chunk", "place.home", "print")
     dealt = dealt.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk")
 
     def run(batches):

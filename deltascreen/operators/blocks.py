@@ -17,11 +17,21 @@ TOL = 1e-9
 
 
 def pack(table: DataFrame, keys: list[str], values: dict[str, str], axis: str = "gene") -> DataFrame:
-    """One row per profile with value arrays ordered by the (bounded) feature axis."""
+    """One row per profile with value arrays ordered by the feature axis.
+
+    Profiles are compared place by place, so the job fails unless all of them hold the same features.
+    """
     entries = F.array_sort(F.collect_list(F.struct(axis, *values)))
     packed = table.groupBy(*keys).agg(entries.alias("__e"))
+    # every profile's features against those of the whole table, by an order-free digest
+    place = F.pmod(F.xxhash64(axis), F.lit(1 << 40))
+    whole = table.select(axis).distinct().agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(place).alias("mark"))).scalar()
+    mark = F.aggregate(f"__e.{axis}", F.lit(0).cast("bigint"), lambda a, g: a + F.pmod(F.xxhash64(g), F.lit(1 << 40)))
+    own = F.struct(F.size("__e").cast("bigint").alias("n"), mark.alias("mark"))
+    bad = F.raise_error(F.lit("profiles hold different features"))
     arrays = {
-        out: F.col(f"__e.{col}") for col, out in values.items()
+        out: F.when(own == whole, F.col(f"__e.{col}")).otherwise(bad.cast(f"array<{dict(table.dtypes)[col]}>"))
+        for col, out in values.items()
     }
     return packed.withColumns(arrays).drop("__e")
 

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
 from deltascreen.operators.qc import full_coverage
-from deltascreen.operators.scale import axis_array, spread
+from deltascreen.operators.scale import spread
 
 MIN_CELLS = 4
 
 
 def number_genes(genes: DataFrame) -> DataFrame:
-    """Feature axis with its position; the axis is bounded, so it fits one array."""
-    return genes.sparkSession.range(1).select(
-        F.posexplode(axis_array(genes, "gene")).alias("gene_ord", "gene")
-    ).select("gene", "gene_ord")
+    """Feature axis with its position in the order of the names."""
+    place = F.row_number().over(W.orderBy("gene")) - 1
+    return genes.where("gene IS NOT NULL").select("gene").distinct().withColumn("gene_ord", place)
 
 
 def grouped_sum(expr: DataFrame, groups: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -36,7 +36,7 @@ def group_sizes(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def dense_means(sizes: DataFrame, sums: DataFrame, keys: list[str], genes: DataFrame) -> DataFrame:
     """Mean over all cells of the group, absent entries being zero."""
-    grid = spread(sizes, axis_array(genes, "gene"), "gene")
+    grid = spread(sizes, genes, "gene")
     return grid.join(sums, [*keys, "gene"], "left").select(
         *keys, "gene", (F.coalesce("sx", F.lit(0.0)) / F.col("n_cells")).alias("m"), "n_cells"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deltascreen.functions import labels
 from deltascreen.functions.numeric import clip, two_sided_normal_p
 from deltascreen.functions.tdist import t_two_sided_p
-from deltascreen.operators.scale import axis_array, cut, spread, value_buckets
+from deltascreen.operators.scale import cut, spread, value_buckets
 
 # Fold change reported where a mean is zero, and the call threshold.
 CLIP_VALUE = 20.0
@@ -144,9 +144,12 @@ def rank_statistics(
         "bin", "half", "gene", F.col("nnz").alias("nnz0"), F.col("sx").alias("sx0"),
         F.col("ties").alias("ties0"),
     )
-    n_control = sizes.where(ctrl).select("bin", "half", F.col("n").alias("n0"))
+    many = F.raise_error(F.concat(F.lit("more than one control label in bin "), F.col("bin"))).cast("bigint")
+    n_control = sizes.where(ctrl).groupBy("bin", "half").agg(
+        F.sum("n").alias("n0"), F.count(F.lit(1)).alias("labels")
+    ).select("bin", "half", F.when(F.col("labels") == 1, F.col("n0")).otherwise(many).alias("n0"))
     tested = sizes.where(~ctrl & (F.col("n") >= min_cells)).withColumnRenamed("n", "n1")
-    grid = spread(tested.join(n_control, ["bin", "half"]), axis_array(genes, "gene"), "gene")
+    grid = spread(tested.join(n_control, ["bin", "half"]), genes, "gene")
     full = (
         grid.join(stats.where(~ctrl), ["bin", "half", "gene", "condition"], "left")
         .join(control, ["bin", "half", "gene"], "left")
@@ -232,7 +235,7 @@ def welch_statistics(
     totals = sums.groupBy("bin", "half", "gene").agg(F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     pool = sizes.groupBy("bin", "half").agg(F.sum("n").alias("tn"))
     full = (
-        spread(sizes.join(pool, ["bin", "half"]), axis_array(genes, "gene"), "gene")
+        spread(sizes.join(pool, ["bin", "half"]), genes, "gene")
         .join(sums, [*keys, "gene"], "left")
         .join(totals, ["bin", "half", "gene"], "left")
         .fillna(0.0, ["s", "q", "ts", "tq"])

@@ -7,8 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.operators import blocks
-from deltascreen.operators.sampling import seeded_digest
-from deltascreen.operators.scale import hash_rank
 
 
 def _schema(df: DataFrame, group: list[str], rest: str) -> str:
@@ -37,18 +35,12 @@ def cosine_rank(profiles: DataFrame, group: list[str], size: int = blocks.BLOCK)
 
 
 def pds(
-    profiles: DataFrame, group: list[str], metric: str = "cosine", max_kos: int | None = None,
-    seed: int = 42, size: int = blocks.BLOCK,
+    profiles: DataFrame, group: list[str], metric: str = "cosine", size: int = blocks.BLOCK,
 ) -> DataFrame:
-    """Share of profiles whose nearest truth is their own (the first name wins ties).
-
-    ``max_kos`` switches on the sampled estimate; by default every profile is compared.
-    """
+    """Share of profiles whose nearest truth is their own (the first name wins ties)."""
     if metric not in ("cosine", "l1", "l2", "sign_cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     df, g = _grouped(profiles, group)
-    if max_kos is not None:
-        df = hash_rank(df, g, seeded_digest(seed, "id"), ["id"]).where(F.col("rank") <= max_kos)
     p, t = F.col("p"), F.col("t")
     if metric == "sign_cosine":
         p, t = F.transform(p, F.signum), F.transform(t, F.signum)

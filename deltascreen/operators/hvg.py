@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltascreen.operators.scale import axis_array, spread
+from deltascreen.operators.scale import spread
 
 SPAN = 0.3
 
@@ -25,7 +25,7 @@ def moments(counts: DataFrame, cells: DataFrame, genes: DataFrame, batch: str) -
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
     var = (F.coalesce("q", F.lit(0.0)) - F.col("n") * mean * mean) / F.greatest(F.col("n") - 1, F.lit(1))
     return (
-        spread(sizes, axis_array(genes, "gene"), "gene")
+        spread(sizes, genes, "gene")
         .join(sums, [batch, "gene"], "left")
         .select(batch, "gene", "n", mean.alias("mean"), var.alias("var"))
     )

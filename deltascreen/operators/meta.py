@@ -13,6 +13,11 @@ from deltascreen.plans.catalogue import GLOBAL
 KEYS = ["scenario", "fold", "bin", "ko", "metric"]
 
 
+def dataset_key(*tables: DataFrame) -> list[str]:
+    """``dataset`` where every table has it: bins and labels of one dataset say nothing about another."""
+    return ["dataset"] if all("dataset" in t.columns for t in tables) else []
+
+
 def signed(higher: Column, a: Column, b: Column) -> Column:
     """a - b, mirrored where lower values are better."""
     return F.when(higher, a - b).otherwise(b - a)
@@ -29,7 +34,7 @@ def with_controls(
 ) -> DataFrame:
     """Every score row with the negative, positive and baseline score of its key.
 
-    ``baselines(scenario, baseline_predictor)`` names the baseline (the scenario default
+    ``baselines([dataset,] scenario, baseline_predictor)`` names the baseline (the scenario default
     otherwise). One window on the key replaces a join per control; rows whose key lacks a control
     drop out, as in an inner join.
     """
@@ -37,8 +42,8 @@ def with_controls(
         pairs = [F.lit(x) for kv in catalogue.DEFAULT_BASELINE.items() for x in kv]
         named = scores.withColumn("baseline_predictor", F.create_map(*pairs)[F.col("scenario")])
     else:
-        named = scores.join(baselines, "scenario")
-    key = W.partitionBy(*KEYS)
+        named = scores.join(baselines, [*dataset_key(scores, baselines), "scenario"])
+    key = W.partitionBy(*dataset_key(scores), *KEYS)
     at = lambda cond: F.max(F.when(cond, F.col("value"))).over(key)
     neg = F.col("predictor") == negative
     return (
@@ -130,23 +135,24 @@ def candidate_table(spark) -> DataFrame:
 def hardest_baseline(scores: DataFrame, metric_table: DataFrame, keys: DataFrame | None = None,
                      metrics: list[str] = catalogue.HARDEST_METRICS) -> DataFrame:
     """Average rank of every candidate over the ranking metrics, best first; ``is_hardest`` marks
-    the winner of its scenario."""
+    the winner of its scenario (and dataset)."""
+    own = [*dataset_key(scores), "scenario"]
     kept = scores.where((F.col("ko") != GLOBAL) & F.col("metric").isin(metrics))
     if keys is not None:
         kept = restrict_by_keys(kept, keys)
     med = (
         kept.join(candidate_table(scores.sparkSession), ["scenario", "predictor"])
-        .groupBy("scenario", "metric", "predictor", "place").agg(F.median("value").alias("m"))
+        .groupBy(*own, "metric", "predictor", "place").agg(F.median("value").alias("m"))
         .join(metric_table.select("metric", "higher_is_better"), "metric")
         .withColumn("m", F.round("m", 9))
     )
-    best = W.partitionBy("scenario", "metric").orderBy(
+    best = W.partitionBy(*own, "metric").orderBy(
         F.when(F.col("higher_is_better"), -F.col("m")).otherwise(F.col("m")), "place")
     avg = (
         med.withColumn("r", F.row_number().over(best))
-        .groupBy("scenario", "predictor", "place").agg(F.avg("r").alias("avg_rank"))
+        .groupBy(*own, "predictor", "place").agg(F.avg("r").alias("avg_rank"))
     )
-    first = W.partitionBy("scenario").orderBy("avg_rank", "place")
+    first = W.partitionBy(*own).orderBy("avg_rank", "place")
     return avg.withColumn("is_hardest", F.row_number().over(first) == 1).drop("place")
 
 
@@ -186,18 +192,19 @@ def overlap(scores: DataFrame, within: list[str]) -> DataFrame:
 
 
 def on_overlap(table: DataFrame, shared: DataFrame) -> DataFrame:
-    return table.join(shared, ["scenario", "bin", "ko"], "left_semi")
+    return table.join(shared, [*dataset_key(table, shared), "scenario", "bin", "ko"], "left_semi")
 
 
 def metric_distributions(fill: DataFrame, drop: DataFrame) -> DataFrame:
     """Distribution per (scenario, predictor, metric) x missing-feature mode x (full, overlapping)."""
-    shared = overlap(fill, ["scenario"])
+    own = [*dataset_key(fill, drop), "scenario"]
+    shared = overlap(fill, own)
     both = fill.withColumn("missing_genes", F.lit("fill")).unionByName(
         drop.withColumn("missing_genes", F.lit("drop")))
     every = both.withColumn("pert_set", F.lit("full")).unionByName(
         on_overlap(both, shared).withColumn("pert_set", F.lit("overlapping")))
     return summarise(
-        every, "value", ["scenario", "predictor", "metric", "missing_genes", "pert_set"], clean=False,
+        every, "value", [*own, "predictor", "metric", "missing_genes", "pert_set"], clean=False,
         medians=["n_genes_valid", "n_genes_native"],
     ).withColumnsRenamed({"n": "n_perturbations", "n_genes_valid": "n_genes"})
 
@@ -242,34 +249,37 @@ def handles(kos: DataFrame, genes: DataFrame, predictors: DataFrame) -> DataFram
 def coverage(scores: DataFrame, forecast: DataFrame) -> DataFrame:
     """Per scored (scenario, bin, ko): fold, overlap, who handled it, and why the others did not."""
     real = scores.where((F.col("ko") != GLOBAL) & (F.col("bin") != GLOBAL))
-    done = real.groupBy("scenario", "bin", "ko").agg(
+    own = [*dataset_key(scores), "scenario"]
+    pair = [*own, "bin", "ko"]
+    done = real.groupBy(*pair).agg(
         F.min("fold").alias("fold"), F.array_sort(F.collect_set("predictor")).alias("handled_by"))
-    everyone = real.groupBy("scenario").agg(F.array_sort(F.collect_set("predictor")).alias("predictors"))
-    rows = done.join(everyone, "scenario")
+    everyone = real.groupBy(*own).agg(F.array_sort(F.collect_set("predictor")).alias("predictors"))
+    rows = done.join(everyone, own)
     absent = rows.select(
-        "scenario", "bin", "ko", F.explode(F.array_except("predictors", "handled_by")).alias("predictor"))
-    why = absent.join(forecast.where("NOT ok"), ["predictor", "ko"], "left").select(
-        "scenario", "bin", "ko", "predictor", F.coalesce("reason", F.lit("no_valid_prediction")).alias("reason"))
+        *pair, F.explode(F.array_except("predictors", "handled_by")).alias("predictor"))
+    why = absent.join(forecast.where("NOT ok"), [*dataset_key(absent, forecast), "predictor", "ko"], "left").select(
+        *pair, "predictor", F.coalesce("reason", F.lit("no_valid_prediction")).alias("reason"))
     told = F.create_map(*[F.lit(x) for kv in catalogue.REASONS.items() for x in kv])
     explained = F.struct("reason", told[F.col("reason")].alias("explanation"))
-    reasons = why.groupBy("scenario", "bin", "ko").agg(
+    reasons = why.groupBy(*pair).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("predictor", explained)))).alias("not_handled_by"))
-    return rows.join(reasons, ["scenario", "bin", "ko"], "left").select(
-        "scenario", "bin", "ko", "fold", "handled_by", "not_handled_by",
+    return rows.join(reasons, pair, "left").select(
+        *pair, "fold", "handled_by", "not_handled_by",
         (F.size("handled_by") == F.size("predictors")).alias("in_overlap"))
 
 
 def coverage_summary(scores: DataFrame) -> DataFrame:
     """Handled and unhandled pairs per predictor, and the share."""
     real = scores.where((F.col("ko") != GLOBAL) & (F.col("bin") != GLOBAL))
-    total = real.select("scenario", "bin", "ko").distinct().groupBy("scenario").agg(F.count(F.lit(1)).alias("total"))
-    mine = real.select("scenario", "predictor", "bin", "ko").distinct().groupBy("scenario", "predictor").agg(
+    own = [*dataset_key(scores), "scenario"]
+    total = real.select(*own, "bin", "ko").distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("total"))
+    mine = real.select(*own, "predictor", "bin", "ko").distinct().groupBy(*own, "predictor").agg(
         F.count(F.lit(1)).alias("handled"))
-    return mine.join(total, "scenario").select(
-        "scenario", "predictor", "handled", (F.col("total") - F.col("handled")).alias("not_handled"),
+    return mine.join(total, own).select(
+        *own, "predictor", "handled", (F.col("total") - F.col("handled")).alias("not_handled"),
         F.round(F.col("handled") / F.col("total"), 4).alias("frac"))
 
 
 def coverage_json(report: DataFrame) -> DataFrame:
     """One JSON document per pair."""
-    return report.select("scenario", F.to_json(F.struct(*report.columns)).alias("json"))
+    return report.select(*dataset_key(report), "scenario", F.to_json(F.struct(*report.columns)).alias("json"))

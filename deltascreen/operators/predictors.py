@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
@@ -83,13 +83,16 @@ def emit(df: DataFrame, delta) -> DataFrame:
     return df.select(*KEYS, delta.cast("double").alias("delta"))
 
 
-def require_rows(df: DataFrame, screen: Screen, message: str) -> DataFrame:
-    """Fail a fold that has test pairs but no training pair."""
-    folds = screen.train.select(*FOLD).distinct().withColumn("trained", F.lit(True))
-    bad = F.raise_error(F.lit(message)).cast("double")
-    return df.join(folds, FOLD, "left").withColumn(
-        "delta", F.when(F.col("trained"), F.col("delta")).otherwise(bad)
-    ).drop("trained")
+def guarded(df: DataFrame, screen: Screen) -> DataFrame:
+    """``df``, failing where a fold has test pairs but no training pair.
+
+    The failure is a branch of its own: what such a fold has learned is empty, so a check on the joined
+    rows would never see one.
+    """
+    empty = screen.split.select(*FOLD).distinct().join(screen.train.select(*FOLD).distinct(), FOLD, "left_anti")
+    bad = F.raise_error(F.concat_ws(" ", F.lit("empty training split:"), *FOLD)).cast("double")
+    names = [F.lit(None).cast("string").alias(c) for c in ("bin", "ko", "gene")]
+    return df.unionByName(empty.select(*FOLD, *names, bad.alias("delta")))
 
 
 def run(name: str, screen: Screen) -> DataFrame:
@@ -164,8 +167,7 @@ def mean_over_perturbations(s: Screen) -> DataFrame:
 def mean_over_cell_types(s: Screen) -> DataFrame:
     """Training mean of the label over its training bins."""
     means = bulk.mean_per_ko(s.deltas, s.train)
-    out = emit(s.grid.join(means, [*FOLD, "ko", "gene"]), F.col("m_ko"))
-    return require_rows(out, s, "empty training split")
+    return guarded(emit(s.grid.join(means, [*FOLD, "ko", "gene"]), F.col("m_ko")), s)
 
 
 @register_predictor(
@@ -174,7 +176,7 @@ def mean_over_cell_types(s: Screen) -> DataFrame:
 )
 def mean_over_both(s: Screen) -> DataFrame:
     means = bulk.mean_all(s.deltas, s.train)
-    return emit(s.grid.join(means, [*FOLD, "gene"]), F.col("m_all"))
+    return guarded(emit(s.grid.join(means, [*FOLD, "gene"]), F.col("m_all")), s)
 
 
 @register_predictor("Two-way-mean", "analytical", ["UnseenPair"])
@@ -185,7 +187,7 @@ def two_way_mean(s: Screen) -> DataFrame:
         .join(bulk.mean_per_ko(s.deltas, s.train), [*FOLD, "ko", "gene"])
         .join(bulk.mean_all(s.deltas, s.train), [*FOLD, "gene"])
     )
-    return emit(rows, F.col("m_bin") + F.col("m_ko") - F.col("m_all"))
+    return guarded(emit(rows, F.col("m_bin") + F.col("m_ko") - F.col("m_all")), s)
 
 
 # ---- combinations and doses --------------------------------------------------------------
@@ -317,6 +319,19 @@ def linear_additive(s: Screen) -> DataFrame:
     return ridge_predictions(s, ridge_fit(s, 1e-8))
 
 
+def pair_id() -> Column:
+    """Bin and label as one name, in their order; the bin's length at the end tells them apart."""
+    return F.concat("bin", F.lit("|"), "ko", F.lit("\u0001"), F.length("bin").cast("string"))
+
+
+def id_pair(name: str) -> tuple[Column, Column]:
+    """Bin and label of a ``pair_id``, whatever characters they hold."""
+    tail = F.substring_index(name, "\u0001", -1)
+    size = tail.cast("int")
+    whole = F.col(name)
+    return whole.substr(F.lit(1), size), whole.substr(size + 2, F.length(whole) - F.length(tail) - size - 2)
+
+
 @register_predictor("Correlation", "learned", ["UnseenPert", "UnseenBoth"], needs_training=True)
 def correlation(s: Screen) -> DataFrame:
     """Copies the delta of the most correlated training label of the same bin.
@@ -334,11 +349,10 @@ def correlation(s: Screen) -> DataFrame:
         s.train.join(need_all, FOLD, "left_semi").withColumn("pool", F.lit("*"))
     )
     named = lambda df: df.join(profiles, ["bin", "ko"]).select(
-        *FOLD, "pool", F.concat_ws("|", "bin", "ko").alias("id"), "v"
+        *FOLD, "pool", pair_id().alias("id"), "v"
     )
     best = discrimination.nearest_reference(named(queries), named(refs), [*FOLD, "pool"])
-    split_id = lambda c: (F.substring_index(c, "|", 1), F.substring_index(c, "|", -1))
-    (qb, qk), (rb, rk) = split_id("id"), split_id("ref")
+    (qb, qk), (rb, rk) = id_pair("id"), id_pair("ref")
     chosen = best.select(*FOLD, qb.alias("bin"), qk.alias("ko"), rb.alias("ref_bin"), rk.alias("ref_ko"))
     source = s.deltas.select(F.col("bin").alias("ref_bin"), F.col("ko").alias("ref_ko"), "gene", "d_all")
     return emit(chosen.join(source, ["ref_bin", "ref_ko"]), F.col("d_all"))

@@ -186,12 +186,25 @@ def require_fractions(frac: DataFrame) -> DataFrame:
 
 
 def shipped_fraction(cells: DataFrame, column: str) -> DataFrame:
-    """Shipped value as a fraction: percent when its maximum exceeds 1; missing stays NULL."""
-    value = F.col(column).cast("double")
+    """Shipped value as a fraction: percent when its maximum exceeds 1; missing and NaN become NULL."""
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     top = scalar(cells.agg(F.max(value)))
     return cells.select("cell_id", F.when(top <= 1.0, value).otherwise(value / 100.0).alias("shipped"))
 
 
+def with_shipped(frac: DataFrame, shipped: DataFrame) -> DataFrame:
+    """``frac`` with the shipped fractions in place of the computed ones (missing: 0)."""
+    joined = frac.drop("mito_frac").join(shipped, "cell_id", "left")
+    return joined.withColumn("mito_frac", F.coalesce("shipped", F.lit(0.0))).drop("shipped")
+
+
+def require_agreement(frac: DataFrame, shipped: DataFrame) -> DataFrame:
+    """``frac``, or a failure where its median is far from the shipped one's."""
+    ok = scalar(cross_check_fraction(frac, shipped).select("ok"))
+    bad = F.raise_error(F.lit("computed and shipped mitochondrial fractions disagree")).cast("double")
+    return frac.withColumn("mito_frac", F.when(F.coalesce(ok, F.lit(True)), F.col("mito_frac")).otherwise(bad))
+
+
 def cross_check_fraction(frac: DataFrame, shipped: DataFrame) -> DataFrame:
     """Computed against shipped median; ``ok`` is NULL when either median is zero."""
     a = exact_median(frac, [], "mito_frac", "m")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_PANEL = 200_000
+# parts of an axis that its entries are dealt into when groups are spread over it
+LANES = 32
 # half-width of the bracket around the middle, and the sketch's accuracy (error 1 / SKETCH)
 BRACKET, SKETCH = 0.002, 10_000
 _LOCAL_ROOT: dict[str, str] = {}
@@ -49,19 +50,16 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def axis_array(df: DataFrame, column: str, limit: int = MAX_PANEL) -> Column:
-    """A bounded axis (features, bins) as an array scalar; raises above ``limit`` entries."""
-    size = F.count(F.lit(1))
-    checked = F.when(
-        size <= limit, F.array_sort(F.collect_list(column))
-    ).otherwise(F.raise_error(F.lit(f"axis {column} has more than {limit} entries")))
-    # limit+1 names are enough to detect an oversized axis
-    return df.select(column).distinct().limit(limit + 1).agg(checked.alias("axis")).scalar()
+def spread(groups: DataFrame, axis: DataFrame, name: str, lanes: int = LANES) -> DataFrame:
+    """Every group with every entry of an axis of any size.
 
-
-def spread(groups: DataFrame, axis: Column, name: str) -> DataFrame:
-    """Every group with every entry of a bounded axis, in place (no shuffle, no cross join)."""
-    return groups.withColumn(name, F.explode(axis))
+    Entries are dealt into lanes and every group meets every lane in an equi-join: Spark broadcasts
+    a small axis, and a large one is joined lane by lane.
+    """
+    lane = F.pmod(F.xxhash64(name), F.lit(lanes))
+    entries = axis.where(F.col(name).isNotNull()).select(name).distinct().withColumn("__lane", lane)
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))
+    return groups.withColumn("__lane", F.explode(every)).join(entries, "__lane").drop("__lane")
 
 
 def hash_rank(
@@ -85,10 +83,13 @@ def hash_rank(
         )
     )
     inside = W.partitionBy(*keys, "__bucket").orderBy("__digest", *tie)
+    # keys may be NULL: such rows are a group of their own
+    named = starts.withColumnsRenamed({k: f"__of_{k}" for k in [*keys, "__bucket"]})
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in [*keys, "__bucket"]]
     return (
-        marked.join(starts, [*keys, "__bucket"])
+        marked.join(named, same)
         .withColumn(rank, F.col("__start") + F.row_number().over(inside))
-        .drop("__digest", "__bucket", "__start")
+        .drop("__digest", "__bucket", "__start", *[f"__of_{k}" for k in [*keys, "__bucket"]])
     )
 
 

@@ -25,6 +25,7 @@ class Recipe:
     guide_column: str | None = None
     min_genes: int = 200
     mito_max: float | None = None
+    mito_column: str | None = None
     min_gene_cells: int = 3
     n_hvg: int = catalogue.DEFAULT_N_HVG
     floor: int = 12
@@ -41,7 +42,8 @@ def preprocess(spark: SparkSession, counts: DataFrame, cells: DataFrame, recipe:
     Feature selection comes before the draw, so the panel does not depend on it.
     """
     parameters = asdict(recipe)
-    stage = lambda name, build, required: store.stamped_stage(spark, root, name, parameters, build, required)
+    inputs = [store.content_stamp(counts), store.content_stamp(cells)]
+    stage = lambda name, build, required: store.stamped_stage(spark, root, name, parameters, build, required, inputs)
     cleaned = qc.clean_cells(cells)
     depth_totals = qc.cell_totals(counts)
     n_targets = None
@@ -51,10 +53,20 @@ def preprocess(spark: SparkSession, counts: DataFrame, cells: DataFrame, recipe:
     retention = stage(
         "retention",
         lambda: qc.enforce(qc.count_retention(cleaned, depth_totals, recipe.depth_column)), ["retention"])
+    # without a mitochondrial feature the shipped fraction serves; without either the gate is not applied
+    counted = not counts.where(qc.is_mito(F.col("gene"))).limit(1).isEmpty()
+    gated = counted or recipe.mito_column is not None
+    fractions = qc.mito_fraction(counts, with_depth)
+    if recipe.mito_column is not None:
+        shipped = qc.shipped_fraction(cleaned, recipe.mito_column)
+        if counted:
+            fractions = qc.require_agreement(fractions, shipped)
+        else:
+            fractions = qc.with_shipped(fractions, shipped)
     flags = stage("qc_flags", lambda: qc.qc_flags(
-        with_depth, qc.require_fractions(qc.mito_fraction(counts, with_depth)), recipe.min_genes,
-        recipe.mito_max, n_targets), ["pass_genes"])
-    audit = qc.require_audit(qc.qc_audit(flags, recipe.guide_column is not None))
+        with_depth, qc.require_fractions(fractions), recipe.min_genes,
+        recipe.mito_max, n_targets, apply_mito=gated), ["pass_genes"])
+    audit = qc.require_audit(qc.qc_audit(flags, recipe.guide_column is not None, gated))
     audit = stage("qc_audit", lambda: audit, ["gate"])
     kept = qc.qc_keep(flags)
     kept_counts = counts.join(kept.select("cell_id"), "cell_id", "left_semi")
@@ -99,12 +111,15 @@ def benchmark(
     predicted = predictors.run_all(predictors.select_predictors(selector), screen).withColumn("dataset", F.lit(dataset))
     store.save_predictions(
         store.checked_predictions(predicted, tables["deltas"], tables["deltas"], tables["genes"]), f"{root}/predictions")
-    stored = store.load_predictions(spark, f"{root}/predictions", tables["genes"]).where(F.col("dataset") == dataset)
+    stored = store.load_predictions(spark, f"{root}/predictions", tables["genes"], dataset=dataset)
     scores = metrics.score(
         stored.drop("dataset"), tables["deltas"], screen.rect, tables["weights"],
         names or [m.name for m in catalogue.headline_metrics()], splits.test_pairs(split), mode, top_k, min_set)
-    store.upsert_scores(scores.withColumn("dataset", F.lit(dataset)), f"{root}/metrics", predictors.roster(spark))
-    return store.read_partitioned(spark, f"{root}/metrics")
+    roster = predictors.roster(spark)
+    ran = roster.where(F.col("predictor").isin(predictors.select_predictors(selector))).select("scenario", "predictor")
+    ran = split.select("scenario", "fold").distinct().join(ran, "scenario").withColumn("dataset", F.lit(dataset))
+    store.upsert_scores(scores.withColumn("dataset", F.lit(dataset)), f"{root}/metrics", roster, ran)
+    return store.read_scores(spark, f"{root}/metrics", roster)
 
 
 def report(spark: SparkSession, scores: DataFrame, hardest: bool = False) -> dict[str, DataFrame]:
@@ -113,12 +128,12 @@ def report(spark: SparkSession, scores: DataFrame, hardest: bool = False) -> dic
     baselines = None
     if hardest:
         baselines = meta.hardest_baseline(scores, table).where("is_hardest").select(
-            "scenario", F.col("predictor").alias("baseline_predictor"))
+            *meta.dataset_key(scores), "scenario", F.col("predictor").alias("baseline_predictor"))
     cf = meta.captured_fraction(scores, table, baselines)
     bs = meta.baseline_saturation(scores, table, baselines)
     return {
         "bs": bs, "cf": cf,
-        "bs_summary": meta.summarise(bs, "bs", ["baseline_predictor", "metric"]),
-        "cf_summary": meta.summarise(cf, "cf", ["predictor", "baseline_predictor", "metric"]),
+        "bs_summary": meta.summarise(bs, "bs", [*meta.dataset_key(scores), "baseline_predictor", "metric"]),
+        "cf_summary": meta.summarise(cf, "cf", [*meta.dataset_key(scores), "predictor", "baseline_predictor", "metric"]),
         "coverage": meta.coverage_summary(scores),
     }

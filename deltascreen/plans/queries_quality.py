@@ -177,9 +177,9 @@ def v17(tb):
     """Zero-completed rows averaged one by one, against sums divided by cell counts."""
     cells, genes = tb.stage("half_cells"), tb.stage("genes")
     kept = cells.withColumnRenamed("condition", "ko").join(tb.kos, "ko", "left_semi")
-    from deltascreen.operators.scale import axis_array, spread
+    from deltascreen.operators.scale import spread
 
-    rows = spread(kept.select("cell_id", "bin", "ko", "half"), axis_array(genes, "gene"), "gene").join(
+    rows = spread(kept.select("cell_id", "bin", "ko", "half"), genes, "gene").join(
         tb.stage("expr").select("cell_id", "gene", "x"), ["cell_id", "gene"], "left").fillna(0.0, ["x"])
     naive = rows.groupBy("bin", "ko", "half", "gene").agg(F.avg("x").alias("m"))
     return quality.bulk_agreement(tb.stage("bulk"), naive, ["bin", "ko", "half", "gene"])

@@ -260,10 +260,13 @@ def r1(tb):
 
 
 @query("R2_incremental_means", """
-SELECT s.bin, s.condition, k.gene, round(sum(ln(1 + k.cnt * 1e4 / s.total)), 6) + 0e0 AS sx, round(sum(pow(ln(1 + k.cnt * 1e4 / s.total), 2)), 6) + 0e0 AS sxx, count(*) AS nnz
-FROM stream_cells s JOIN fx_counts k ON k.cell_id = s.cell_id GROUP BY 1, 2, 3
+SELECT s.bin, s.condition, k.gene, round(sum(ln(1 + k.cnt * 1e4 / s.total)), 6) + 0e0 AS sx, round(sum(pow(ln(1 + k.cnt * 1e4 / s.total), 2)), 6) + 0e0 AS sxx, count(*) AS nnz,
+  any_value(n.n_cells) AS n_cells, round(sum(ln(1 + k.cnt * 1e4 / s.total)) / any_value(n.n_cells), 6) + 0e0 AS m
+FROM stream_cells s JOIN fx_counts k ON k.cell_id = s.cell_id
+JOIN (SELECT bin, condition, count(*) AS n_cells FROM stream_cells GROUP BY 1, 2) n ON n.bin = s.bin AND n.condition = s.condition
+GROUP BY 1, 2, 3
 """)
 def r2(tb):
     out, ckpt = fresh_path(tb.spark, "means"), fresh_path(tb.spark, "means-state")
     ingest.start_incremental_means(_stream(tb), out, ckpt).awaitTermination()
-    return rounded(ingest.read_incremental_means(tb.spark, out), "sx", "sxx")
+    return rounded(ingest.read_incremental_means(tb.spark, out), "sx", "sxx", "m")

@@ -6,18 +6,24 @@ import hashlib
 import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Raised when a stage's meaning changes, so that stages written before are not read.
+VERSION = 2
 PARTITIONS = ["dataset", "scenario", "fold", "predictor"]
 KEYS = [*PARTITIONS, "bin", "ko", "gene"]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table folder was completely written (any file system Spark knows)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing was committed (any file system Spark knows)."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 # ---- keyed sinks -------------------------------------------------------------------------
@@ -30,10 +36,25 @@ def upsert(df: DataFrame, path: str) -> None:
     )
 
 
-def upsert_scores(scores: DataFrame, path: str, roster: DataFrame) -> None:
-    """Metric rows of recomputed predictors; pairs outside the roster are not written."""
+def upsert_scores(scores: DataFrame, path: str, roster: DataFrame, recomputed: DataFrame | None = None) -> None:
+    """Metric rows of recomputed predictors; pairs outside the roster are not written.
+
+    ``recomputed(dataset, scenario, fold, predictor)`` lists what was computed: a partition of it
+    without rows is replaced by an empty mark, so that its old rows are gone.
+    """
+    valid = roster.select("scenario", "predictor").distinct()
+    rows = scores.join(valid, ["scenario", "predictor"], "left_semi")
+    if recomputed is not None:
+        gone = recomputed.select(*PARTITIONS).distinct().join(rows.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+    upsert(rows, path)
+
+
+def read_scores(spark: SparkSession, path: str, roster: DataFrame) -> DataFrame:
+    """Stored metric rows of pairs that the roster has now; rows written before it changed are left out."""
     valid = roster.select("scenario", "predictor").distinct()
-    upsert(scores.join(valid, ["scenario", "predictor"], "left_semi"), path)
+    rows = read_partitioned(spark, path).where(F.col("metric").isNotNull())
+    return rows.join(valid, ["scenario", "predictor"], "left_semi")
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
@@ -90,24 +111,27 @@ def save_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def load_predictions(
-    spark: SparkSession, path: str, genes: DataFrame, exact: bool = True, exempt: list[str] | None = None
+    spark: SparkSession, path: str, genes: DataFrame, exact: bool = True, exempt: list[str] | None = None,
+    dataset: str | None = None,
 ) -> DataFrame:
-    """Stored predictions on the panel.
+    """Stored predictions on the panel, of one dataset if it is named (each has its own panel).
 
-    ``exact`` fails when a predictor misses a panel feature or has an extra one (predictors in
+    ``exact`` fails when a stored partition misses a panel feature or has an extra one (predictors in
     ``exempt`` are intersected instead); otherwise the intersection is returned.
     """
     df = read_partitioned(spark, path)
+    if dataset is not None:
+        df = df.where(F.col("dataset") == dataset)
     known = genes.select("gene", F.lit(True).alias("known"))
     if exact:
         n_panel = genes.agg(F.count(F.lit(1))).scalar()
-        seen = df.select("predictor", "gene").distinct().join(known, "gene", "left").groupBy("predictor").agg(
+        seen = df.select(*PARTITIONS, "gene").distinct().join(known, "gene", "left").groupBy(*PARTITIONS).agg(
             F.count("known").alias("n"), F.count_if(F.col("known").isNull()).alias("extra"))
         strict = ~F.col("predictor").isin(exempt or [])
         wrong = strict & ((F.col("n") != n_panel) | (F.col("extra") > 0))
         fail = F.raise_error(F.concat(F.lit("feature axis differs: "), "predictor")).cast("boolean")
-        gate = seen.select("predictor", F.when(wrong, fail).otherwise(F.lit(True)).alias("aligned"))
-        df = df.join(gate, "predictor").where("aligned").drop("aligned")
+        gate = seen.select(*PARTITIONS, F.when(wrong, fail).otherwise(F.lit(True)).alias("aligned"))
+        df = df.join(gate, PARTITIONS).where("aligned").drop("aligned")
     return df.join(genes.select("gene"), "gene", "left_semi")
 
 
@@ -140,13 +164,26 @@ def recipe_stamp(parameters: dict) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def stamped_stage(spark: SparkSession, root: str, name: str, parameters: dict, build, required: list[str]) -> DataFrame:
-    """Reuse a written stage when its stamp matches and it has the required columns; else rebuild."""
-    path = f"{root}/{name}/stamp={recipe_stamp(parameters)}"
-    if exists(spark, path):
-        df = spark.read.parquet(path)
-        if set(required) <= set(df.columns):
-            return df
+def content_stamp(df: DataFrame) -> str:
+    """Order-free digest of a table's columns and rows, from one aggregate over it."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    marks = (F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1_000_003))))
+    return recipe_stamp({"columns": df.dtypes, "rows": [str(x) for x in df.agg(*marks).first()]})
+
+
+def stamped_stage(
+    spark: SparkSession, root: str, name: str, parameters: dict, build, required: list[str], inputs: list[str] | None = None,
+) -> DataFrame:
+    """Reuse a written stage when its stamp matches and it has the required columns; else rebuild.
+
+    The stamp covers the parameters, the code's version and ``inputs``, the content stamps of what
+    the stage is built from.
+    """
+    key = {"parameters": parameters, "version": VERSION, "inputs": inputs or []}
+    path = f"{root}/{name}/stamp={recipe_stamp(key)}"
+    df = read_if_written(spark, path)
+    if df is not None and set(required) <= set(df.columns):
+        return df
     built = build()
     built.write.mode("overwrite").parquet(path)
     return spark.read.schema(built.schema).parquet(path)

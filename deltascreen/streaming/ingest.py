@@ -31,8 +31,9 @@ def clean_stream(cells: DataFrame, min_genes: int = 200, mito_max: float = 0.15,
     kept = (
         cells.withColumn("condition", labels.clean_label(F.col("condition_raw")))
         .withColumn("total", total).withColumn("mito", mito)
-        .where(F.col("condition").isNotNull() & (F.size("genes") >= min_genes))
-        .where(F.col("mito") / F.col("total") < mito_max)
+        .where(F.col("condition").isNotNull() & (F.size(F.filter("counts", lambda c: c > 0)) >= min_genes))
+        .where(F.coalesce(F.try_divide("mito", "total"), F.lit(0.0)) < mito_max)
+        .where(F.col("total") > 0)
     )
     return kept.select(
         "cell_id", "condition", "bin", "total", F.explode(pairs).alias("e")
@@ -51,9 +52,10 @@ def start_ingest(stream: DataFrame, out: str, checkpoint: str):
 
 
 def start_incremental_means(stream: DataFrame, out: str, checkpoint: str):
-    """Mergeable sums per (bin, condition, gene), one folder per micro-batch.
+    """Mergeable sums per (bin, condition, gene) and cells per (bin, condition), one folder per micro-batch.
 
-    A retried batch overwrites its own folder, so every batch counts once.
+    A retried batch overwrites its own folder, so every batch counts once. A row of the source is a
+    whole cell, so the cells of different batches are different.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -61,6 +63,8 @@ def start_incremental_means(stream: DataFrame, out: str, checkpoint: str):
         sums = batch.groupBy("bin", "condition", "gene").agg(
             F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.count(F.lit(1)).alias("nnz"))
         sums.write.mode("overwrite").parquet(f"{out}/entries/batch={batch_id}")
+        sizes = batch.groupBy("bin", "condition").agg(F.count_distinct("cell_id").alias("n_cells"))
+        sizes.write.mode("overwrite").parquet(f"{out}/cells/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -69,6 +73,8 @@ def start_incremental_means(stream: DataFrame, out: str, checkpoint: str):
 
 
 def read_incremental_means(spark: SparkSession, out: str) -> DataFrame:
-    """Sums over all finished micro-batches."""
-    return spark.read.parquet(f"{out}/entries").groupBy("bin", "condition", "gene").agg(
+    """Sums and means over all finished micro-batches; entries that are absent count as zero."""
+    sums = spark.read.parquet(f"{out}/entries").groupBy("bin", "condition", "gene").agg(
         F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"), F.sum("nnz").alias("nnz"))
+    sizes = spark.read.parquet(f"{out}/cells").groupBy("bin", "condition").agg(F.sum("n_cells").alias("n_cells"))
+    return sums.join(sizes, ["bin", "condition"]).withColumn("m", F.col("sx") / F.col("n_cells"))

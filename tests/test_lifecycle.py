@@ -28,14 +28,16 @@ def test_preprocess_benchmark_report(spark):
     cells = tb.cells.drop("condition")
     tables = lifecycle.preprocess(spark, tb.counts, cells, recipe, root)
     assert tables["deltas"].count() > 0
-    again = lifecycle.preprocess(spark, tb.counts.limit(0), cells, recipe, root)
-    assert again["deltas"].count() == tables["deltas"].count()  # finished stages are reused
+    again = lifecycle.preprocess(spark, tb.counts, cells, recipe, root)
+    assert again["deltas"].inputFiles() == tables["deltas"].inputFiles()  # finished stages are reused
+    fewer = lifecycle.preprocess(spark, tb.counts.where("cell_id % 7 <> 0"), cells, recipe, root)
+    assert not set(fewer["deltas"].inputFiles()) & set(tables["deltas"].inputFiles())  # other input: built anew
     weights = tables["deltas"].select("bin", "ko", "gene", F.lit(1.0).alias("w"), F.lit(True).alias("deg"),
                                       F.signum("d_first").cast("int").alias("dir"))
     scored = lifecycle.benchmark(spark, {**tables, "weights": weights}, "tb", root,
                                  "Zero,Mean-over-perturbations,Two-way-mean,controls", top_k=5, min_set=1)
     assert {"mse", "pds_cosine", "gsea_up"} <= {r.metric for r in scored.select("metric").distinct().collect()}
-    report = lifecycle.report(spark, scored.drop("dataset"))
+    report = lifecycle.report(spark, scored)
     assert report["cf_summary"].count() > 0 and report["coverage"].count() > 0
 
 

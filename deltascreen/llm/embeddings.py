@@ -32,6 +32,8 @@ BEAM, SLACK = 32, 0.05
 #: Shards of a class in the first attempt and in the next ones, classes in the audit, recall wanted.
 OVERLAP, AUDITED, RECALL = (2, 4, 8), 256, 0.97
 SEED = 5
+#: Numbers that a step of the search gathers at once.
+CELLS = 1 << 20
 
 
 def _unit(rows) -> np.ndarray:
@@ -156,16 +158,18 @@ def search(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, threshold: flo
     done = np.zeros(seen.shape, dtype=bool)
 
     def visit(q: np.ndarray, node: np.ndarray) -> None:
-        for at in range(0, len(q), 1 << 16):
-            a, b = q[at : at + (1 << 16)], node[at : at + (1 << 16)]
+        step = max(1, CELLS // x.shape[1])
+        for at in range(0, len(q), step):
+            a, b = q[at : at + step], node[at : at + step]
             seen[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
 
     def expand(front: np.ndarray) -> None:
         done[front] = True
         new = np.zeros(seen.shape, dtype=bool)
         q, node = np.nonzero(front)
-        for at in range(0, len(q), 1 << 18):
-            new[q[at : at + (1 << 18), None], lists[node[at : at + (1 << 18)]]] = True
+        step = max(1, CELLS // lists.shape[1])
+        for at in range(0, len(q), step):
+            new[q[at : at + step, None], lists[node[at : at + step]]] = True
         visit(*np.nonzero(new & (seen < -1.5)))
 
     medoid = int((x @ x.mean(axis=0)).argmax())

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.operators import blocks, discrimination
+from deltascreen.plans import catalogue
 from deltascreen.plans.catalogue import GLOBAL, TOP_SUFFIX
 
 FOLD = ["scenario", "fold"]
@@ -292,13 +293,17 @@ def pool_metrics(frame: DataFrame, names: list[str]) -> DataFrame:
 def score(
     predictions: DataFrame, truth: DataFrame, rect: DataFrame, weights: DataFrame, names: list[str],
     keep: DataFrame | None = None, mode: str = "fill", top_k: int = 200, min_set: int = 5,
-    slices: list[Slice] | None = None,
+    relation: DataFrame | None = None, ctrl: DataFrame | None = None,
+    top_expressed: int = catalogue.TOP_EXPRESSED,
 ) -> DataFrame:
     """All requested metrics of all predictions against the first-half deltas.
 
-    ``keep`` restricts the scored pairs (pair-mask scenarios); pools still see the rectangle.
+    ``keep`` restricts the scored pairs (pair-mask scenarios); pools still see the rectangle. Names
+    of the catalogue are scored with the features and labels that their suffix stands for, other
+    names raise. ``relation(kind, src, dst)`` and ``ctrl(gene, m)`` are needed by some suffixes.
     """
     frame = score_frame(predictions, truth, rect, weights)
+    frame, slices = catalogue_slices(frame, names, relation, ctrl, truth, top_expressed)
     rows = frame if keep is None else frame.join(keep, [*FOLD, "bin", "ko"], "left_semi")
     pool = [n for n in names if n in ("cosine_rank", "var_ratio_log_error") or n.startswith("pds_")]
     out = row_metrics(rows, [n for n in names if n not in pool], mode, top_k, min_set, slices)
@@ -405,6 +410,62 @@ def with_relation(frame: DataFrame, relation: DataFrame, kind: str) -> DataFrame
     return frame.join(rel, ["ko", "gene"], "left").fillna(False, [f"in_{kind}"])
 
 
+def suffixes_of(names: list[str]) -> list[str]:
+    """Suffixes that ``names`` use, in the catalogue's order; a name that it does not hold raises."""
+    known = {base + suffix: suffix for base, (_, _, kind) in catalogue.BASES.items()
+             for suffix in (catalogue.SUFFIXES if kind != "direction" else [""])}
+    known |= {"r2_uncentered" + suffix: suffix for suffix in catalogue.SUFFIXES} | dict.fromkeys(catalogue.STANDALONE, "")
+    unknown = sorted(set(names) - set(known) - {"pds_sign_cosine"})
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}")
+    used = {known.get(n, "") for n in names}
+    return [suffix for suffix in catalogue.SUFFIXES if suffix in used]
+
+
+def catalogue_slices(
+    frame: DataFrame, names: list[str], relation: DataFrame | None = None, ctrl: DataFrame | None = None,
+    deltas: DataFrame | None = None, top_expressed: int = catalogue.TOP_EXPRESSED,
+) -> tuple[DataFrame, list[Slice]]:
+    """``frame`` with the marks that the suffixes of ``names`` need, and a slice for each suffix."""
+    slices, marked = [], set()
+
+    def needed(table, suffix, what):
+        if table is None:
+            raise ValueError(f"metrics with {suffix!r} need {what}")
+        return table
+
+    def mark(column, make):
+        nonlocal frame
+        if column not in marked:
+            frame = make(frame)
+            marked.add(column)
+        return F.col(column)
+
+    for suffix in suffixes_of(names):
+        features, regulators = catalogue.SUFFIXES[suffix]
+        mask, weight = None, None
+        kind, _, side = features.rpartition("_")
+        if side in ("within", "outside"):
+            edges = needed(relation, suffix, "a relation table")
+            own = edges if kind else edges.withColumn("kind", F.lit("any"))
+            inside = mark(f"in_{kind or 'any'}", lambda df: with_relation(df, own, kind or "any"))
+            mask = inside if side == "within" else ~inside
+        elif suffix == TOP_SUFFIX:
+            mask = F.col("__top")
+        elif suffix == catalogue.EXPRESSED_SUFFIX:
+            mask = mark("expressed", lambda df: with_expressed(df, needed(ctrl, suffix, "control means"), top_expressed))
+        elif suffix == "_weighted":
+            weight = F.col("w")
+        elif suffix == "_var_weighted":
+            weight = mark("var_w", lambda df: with_variance(df, needed(deltas, suffix, "the true deltas")))
+        if regulators:
+            sources = needed(relation, suffix, "a relation table").select(F.col("src").alias("ko"), F.lit(True).alias("is_regulator")).distinct()
+            chosen = mark("is_regulator", lambda df: df.join(sources, "ko", "left").fillna(False, ["is_regulator"]))
+            mask = chosen if mask is None else mask & chosen
+        slices.append(Slice(suffix, mask, weight))
+    return frame, slices
+
+
 def with_expressed(frame: DataFrame, ctrl: DataFrame, top: int = 1000) -> DataFrame:
     """Flag the features with the highest mean control expression."""
     level = ctrl.groupBy("gene").agg(F.avg("m").alias("level"))

@@ -102,6 +102,7 @@ def preprocess(spark: SparkSession, counts: DataFrame, cells: DataFrame, recipe:
 def benchmark(
     spark: SparkSession, tables: dict[str, DataFrame], dataset: str, root: str, selector: str = "all",
     names: list[str] | None = None, mode: str = "fill", top_k: int = catalogue.TOP_K, min_set: int = 5,
+    relation: DataFrame | None = None,
 ) -> DataFrame:
     """Fit, predict and score every selected predictor; predictions and scores are stored per
     (dataset, scenario, fold, predictor) and only recomputed partitions are replaced."""
@@ -114,7 +115,8 @@ def benchmark(
     stored = store.load_predictions(spark, f"{root}/predictions", tables["genes"], dataset=dataset)
     scores = metrics.score(
         stored.drop("dataset"), tables["deltas"], screen.rect, tables["weights"],
-        names or [m.name for m in catalogue.headline_metrics()], splits.test_pairs(split), mode, top_k, min_set)
+        names or [m.name for m in catalogue.headline_metrics()], splits.test_pairs(split), mode, top_k, min_set,
+        relation, tables["ctrl"])
     roster = predictors.roster(spark)
     ran = roster.where(F.col("predictor").isin(predictors.select_predictors(selector))).select("scenario", "predictor")
     ran = split.select("scenario", "fold").distinct().join(ran, "scenario").withColumn("dataset", F.lit(dataset))

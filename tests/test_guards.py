@@ -1,10 +1,11 @@
 """Cases that once gave a wrong answer without an error."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_contracts import Case
 
-from deltascreen.operators import blocks, bulk, deg, meta, predictors, qc
+from deltascreen.operators import blocks, bulk, deg, meta, metrics, predictors, qc
 from deltascreen.operators.scale import fresh_path, hash_rank, spread
 from deltascreen.plans import catalogue
 from deltascreen.sources import store
@@ -162,3 +163,73 @@ def test_stamps_follow_content(spark):
     for inputs in (["a"], ["a"], ["b"]):
         store.stamped_stage(spark, root, "s", {"p": 1}, build, ["x"], inputs)
     assert len(calls) == 2
+
+
+def scored_case(spark, names, **tables):
+    case = Case(spark)
+    predicted = predictors.run("Mean-over-perturbations", case.screen)
+    rng = np.random.default_rng(8)
+    made = [(b, k, g, float(rng.uniform(0, 1)), bool(rng.random() < 0.6), int(rng.choice([-1, 1]))) for b in case.bins for k in case.kos for g in case.genes.toPandas().gene]
+    weights = spark.createDataFrame(made, "bin string, ko string, gene string, w double, deg boolean, dir int")
+    return case, metrics.score(predicted, case.deltas, case.screen.rect, weights, names, top_k=3, min_set=1, **tables), predicted, weights
+
+
+RELATION = [("go", "G0", "G1"), ("go", "G0", "G2"), ("ppi", "G1", "G5"), ("pathway", "G2", "G0"), ("tf_target", "G0", "G4"), ("tf_target", "G3", "G1"), ("go", "G4", "G4")]
+
+
+def test_every_suffix_scores_its_own_features(spark):
+    relation = spark.createDataFrame(RELATION, "kind string, src string, dst string")
+    suffixes = [s for s in catalogue.SUFFIXES if s]
+    case = Case(spark)
+    _, out, predicted, weights = scored_case(spark, ["mse" + s for s in suffixes], relation=relation, ctrl=case.ctrl, top_expressed=2)
+    got = {(r.bin, r.ko, r.metric): r.value for r in out.collect()}
+    p = {(r.bin, r.ko, r.gene): r.delta for r in predicted.collect()}
+    w = {(r.bin, r.ko, r.gene): r.w for r in weights.collect()}
+    truth = {(r.bin, r.ko, r.gene): (r.d_first, r.d_all) for r in case.deltas.collect()}
+    genes = sorted({g for *_, g in truth})
+    level = {g: np.mean([case.c[i, m] for i in range(len(case.bins))]) for m, g in enumerate(genes)}
+    expressed = sorted(genes, key=lambda g: -level[g])[:2]
+    variance = {g: np.var([v[1] for k, v in truth.items() if k[2] == g], ddof=1) for g in genes}
+    seen = 0
+    for b, ko in {k[:2] for k in p}:
+        t = {g: truth[(b, ko, g)][0] for g in genes}
+        top = sorted(genes, key=lambda g: (-abs(t[g]), g))[:3]
+        regulator = any(src == ko for _, src, _ in RELATION)
+        for suffix in suffixes:
+            features, regulators = catalogue.SUFFIXES[suffix]
+            kind, _, side = features.rpartition("_")
+            linked = {dst for k, src, dst in RELATION if src == ko and (k == kind or not kind)}
+            own = genes
+            if side in ("within", "outside"):
+                own = [g for g in genes if (g in linked) == (side == "within")]
+            elif features == "top_1000_expressed":
+                own = expressed
+            elif suffix.startswith("_top_200"):
+                own = top
+            if regulators and not regulator:
+                own = []
+            weight = {"_weighted": {g: w[(b, ko, g)] for g in genes}, "_var_weighted": variance}.get(suffix, dict.fromkeys(genes, 1.0))
+            value = got.get((b, ko, "mse" + suffix))
+            if own:
+                seen += 1
+                want = sum(weight[g] * (p[(b, ko, g)] - t[g]) ** 2 for g in own) / sum(weight[g] for g in own)
+                assert value == pytest.approx(want), (b, ko, suffix)
+            else:
+                assert value is None, (b, ko, suffix)
+    assert seen > 60
+
+
+def test_all_names_of_the_catalogue_are_scored(spark):
+    relation = spark.createDataFrame(RELATION, "kind string, src string, dst string")
+    names = {m.name for suffixes in (catalogue.STANDARD, catalogue.REAL_DATA) for m in catalogue.metrics(suffixes)}
+    case, out, _, _ = scored_case(spark, sorted(names), relation=relation, ctrl=Case(spark).ctrl, top_expressed=4)
+    found = {r.metric for r in out.select("metric").distinct().collect()}
+    # small feature sets may leave a correlation undefined, everything else has a value
+    assert {n for n in names - found if "within" not in n} == set()
+
+
+def test_unknown_metrics_and_missing_tables_raise(spark):
+    with pytest.raises(ValueError, match="unknown metrics"):
+        scored_case(spark, ["mse", "mse_sideways"])
+    with pytest.raises(ValueError, match="need a relation table"):
+        scored_case(spark, ["mse_go_within"])

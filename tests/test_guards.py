@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_contracts import Case
 
-from deltascreen.operators import blocks, bulk, deg, meta, metrics, predictors, qc
+from deltascreen.operators import blocks, bulk, deg, linear, meta, metrics, predictors, qc
 from deltascreen.operators.scale import fresh_path, hash_rank, spread
 from deltascreen.plans import catalogue
 from deltascreen.sources import store
@@ -233,3 +233,15 @@ def test_unknown_metrics_and_missing_tables_raise(spark):
         scored_case(spark, ["mse", "mse_sideways"])
     with pytest.raises(ValueError, match="need a relation table"):
         scored_case(spark, ["mse_go_within"])
+
+
+def test_ridge_with_more_bins_than_a_dense_system_would_take():
+    rng = np.random.default_rng(4)
+    b, k = np.repeat(np.arange(6000), 3), rng.integers(0, 40, 18_000)
+    bin_effect, label_effect = rng.normal(size=6000), rng.normal(size=40)
+    y = bin_effect[b] + label_effect[k]
+    d_b, d_k = np.bincount(b) + 1e-8, np.bincount(k) + 1e-8
+    right = np.bincount(b, y) - np.bincount(b, (np.bincount(k, y) / d_k)[k])
+    w_b = linear.schur_solve(b, k, d_b, d_k, right)
+    w_k = (np.bincount(k, y) - np.bincount(k, w_b[b])) / d_k
+    assert np.allclose(w_b[b] + w_k[k], y, atol=1e-5)

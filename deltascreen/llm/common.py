@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the array helpers take at once; a longer text is taken whole, on its own.
 BLOCK_BYTES = 2 << 20
+#: A key is heavy with more than one in this many of all rows, so fewer keys than this can be heavy.
+HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) to ``keyed``, which has at most one row for each ``key``.
+
+    Rows of heavy keys, whatever their number, stay where they are: what ``keyed`` has for those keys
+    (fewer than ``HEAVY`` rows) is broadcast. All others are shuffled, none of which can fill a task.
+    Keys are counted with partial sums over all rows. No key may be null.
+    """
+    counts = stage(rows.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    heavy = counts.where(F.col("_n") * HEAVY > total).select(key)
+    own = rows.join(F.broadcast(stage(heavy.join(keyed, key, how), "heavy-keys")), key)
+    others = rows.join(F.broadcast(heavy), key, "left_anti").join(keyed, key, how)
+    return own.unionByName(others)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

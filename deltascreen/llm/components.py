@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import stage
+from deltascreen.llm.common import join_heavy, stage
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,13 +27,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of every node, then the smaller ones, below the
     smallest; rounds are logarithmic in the longest path. Minima are combined before the shuffle
-    and joined back to the edges, so a hub is an ordinary skewed join side. Self links and
+    and joined back to the edges; edges of a heavy hub stay where they are (``join_heavy``). Self links and
     repeated links are allowed, null ends are not links; an empty table gives an empty result.
     """
     now = stage(_ordered(edges), "links")
     size = _mark(now)
     while size[0]:
-        now = stage(_small_star(_large_star(now)), "links")
+        now = stage(_small_star(stage(_large_star(now), "links")), "links")
         if (after := _mark(now)) == size:
             break
         size = after
@@ -57,13 +57,13 @@ def _mark(links: DataFrame):
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
     least = both.groupBy(F.col("high").alias("hub")).agg(F.min("low").alias("least"))
-    least = least.select("hub", F.least("hub", "least").alias("least"))
+    least = stage(least.select(F.col("hub").alias("low"), F.least("hub", "least").alias("least")), "least-neighbours")
     # neighbours above the hub move to the least node that the hub sees
-    moved = links.join(least, links.low == least.hub).select("high", F.col("least").alias("low"))
+    moved = join_heavy(links, least, "low").select("high", F.col("least").alias("low"))
     return moved.where("high <> low").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy(F.col("high").alias("hub")).agg(F.min("low").alias("least"))
-    moved = links.join(least, links.high == least.hub).select(F.col("low").alias("high"), F.col("least").alias("low"))
-    return moved.where("high <> low").unionByName(least.select(F.col("hub").alias("high"), F.col("least").alias("low"))).distinct()
+    least = stage(links.groupBy("high").agg(F.min("low").alias("least")), "least-neighbours")
+    moved = join_heavy(links, least, "high").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return moved.where("high <> low").unionByName(least.select("high", F.col("least").alias("low"))).distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import stage
+from deltascreen.llm.common import join_heavy, stage
 from deltascreen.llm.components import connected_components, forest
 
 THRESHOLD = 0.93
@@ -291,7 +291,7 @@ def near_duplicates(
     known = every.join(total, "class", "left").join(part.select(F.col("node").alias("class"), "component"), "class", "left")
     known = stage(known.select("label", "vector", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class").alias("root")), "embedding-known")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, "root").select(
+    known = join_heavy(known, smallest, "root").select(
         F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"
     )
     rows = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("string").alias("_own"), F.col(vector_col).cast("array<double>").alias("_at"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import stage, whole_text
+from deltascreen.llm.common import join_heavy, stage, whole_text
 from deltascreen.llm.components import connected_components, forest
 
 DISTANCE = 4
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(prints.groupBy("print").agg(F.min(id_col).alias("least")), "print-classes")
     labelled = stage(_with_roots(classes, distance), "print-roots")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    of_print = labelled.join(smallest, "root").select("print", "component")
+    of_print = join_heavy(labelled, smallest, "root").select("print", "component")
     return prints.join(of_print, "print").select(id_col, "print", "component")
 
 

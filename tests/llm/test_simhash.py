@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from conftest import SMALL
 
-from deltascreen.llm import queries, simhash
+from deltascreen.llm import common, queries, simhash
 from deltascreen.llm.components import connected_components
 
 
@@ -103,3 +103,14 @@ def test_components_of_a_path_and_a_hub(spark):
     edges = spark.createDataFrame(path + [(7, i) for i in range(8, 60)] + [(3, 3), (None, 4), (7, 8)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 60)}
+
+
+def test_heavy_keys_join_like_any_other(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(300, "gone")] * 40, "n int, key string")
+    keyed = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 250)], "key string, value int")
+    for heavy in (1, 10, 1000):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        for how in ("inner", "left"):
+            got, want = common.join_heavy(rows, keyed, "key", how), rows.join(keyed, "key", how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert common.join_heavy(rows.limit(0), keyed, "key", "left").count() == 0

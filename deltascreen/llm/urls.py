@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltascreen.llm.common import join_heavy
+
 SIZES = (3, 4, 5)
 WEIGHT_BITS = 15
 #: Labelled URLs that the regression is fitted on at most (lowest hashes).
@@ -47,7 +49,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(host, path, ...)`` with ``rule`` and ``rule_verdict`` of the longest rule that fits, else null.
 
     ``rules(verdict, host, path)`` fit their host and its subdomains where the path starts with
-    theirs. Rules are looked up once for each distinct host.
+    theirs. Rules are looked up once for each distinct host; rows of a heavy host are not shuffled.
     """
     hosts = urls.select("host").distinct()
     names = F.split("host", "[.]")
@@ -56,7 +58,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     named = rules.select("verdict", F.col("host").alias("r_host"), F.col("path").alias("r_path"))
     fits = hosts.select("host", F.explode(F.array_distinct(tails)).alias("r_host")).join(named, "r_host").groupBy("host").agg(F.collect_list(rule).alias("rules"))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["r_path"])))
-    joined = urls.join(fits, "host", "left").withColumn("_best", best)
+    joined = join_heavy(urls, fits, "host", "left").withColumn("_best", best)
     return joined.withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best", "rules")
 
 

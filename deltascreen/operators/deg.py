@@ -86,10 +86,11 @@ def rank_statistics(
 ) -> DataFrame:
     """Tie-corrected Mann-Whitney U of every label against its bin's controls, per half and feature.
 
-    The entries are shuffled once, by (bin, half, feature, value bucket): buckets are steps of the
-    logarithm, so a feature of a hot bin is split over many tasks. Ranks inside a bucket come from
-    one ordered window; bucket totals carry the control counts below. Implicit zeros never become
-    rows, they enter U and the tie term in closed form.
+    The entries are shuffled once, by (bin, feature, value bucket), each entry as one row: halves and
+    the whole are told apart behind the shuffle, in place. Buckets are steps of the logarithm, so a
+    feature of a hot bin is split over many tasks. Ranks inside a bucket come from one ordered window;
+    bucket totals carry the control counts below. Implicit zeros never become rows, they enter U and
+    the tie term in closed form.
     """
     ctrl = labels.is_control(F.col("condition"))
     used = cells.select("cell_id", "bin", "half", "condition")
@@ -105,9 +106,9 @@ def rank_statistics(
     place = ["bin", "half", "gene", "bucket"]
     hist = (
         expr.select("cell_id", "gene", "v").join(used, "cell_id")
-        .withColumn("half", both)
         .withColumn("bucket", F.floor(F.log2("v") * STEPS_PER_OCTAVE).cast("int"))
-        .repartition(*place)
+        .repartition("bin", "gene", "bucket")
+        .withColumn("half", both)
         .groupBy(*place, "condition", "v").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("is_ctrl", ctrl)
     )

@@ -396,11 +396,12 @@ SELECT DISTINCT unnest({TARGETS.format(c='condition')}) AS gene FROM (SELECT DIS
 
 @query("Q12_gene_filter", """
 SELECT gene, n AS n_cells, gene IN (SELECT gene FROM targets) AS is_target
-FROM (SELECT gene, count(DISTINCT cell_id) AS n FROM fx_counts WHERE cnt > 90 GROUP BY 1) q
-WHERE n >= 25 OR gene IN (SELECT gene FROM targets)
+FROM (SELECT gene, count(DISTINCT cell_id) AS n FROM fx_counts GROUP BY 1) q
+WHERE n >= (SELECT count(DISTINCT cell_id) * 15 // 100 FROM fx_counts) OR gene IN (SELECT gene FROM targets)
 """)
 def q12(tb):
-    return qc.filter_genes(tb.counts.where("cnt > 90"), qc.target_genes(tb.cells), min_cells=25)
+    seen = tb.counts.select("cell_id").distinct().count()
+    return qc.filter_genes(tb.counts, qc.target_genes(tb.cells), min_cells=seen * 15 // 100)
 
 
 @query("Q13_targets", """

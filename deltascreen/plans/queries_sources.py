@@ -126,7 +126,8 @@ def j3(tb):
 
 @query("S11_pool_folds", "SELECT scenario, fold, predictor, count(*) AS n FROM kept_scores GROUP BY 1, 2, 3")
 def s11(tb):
-    parts = [(f, scores(tb).where(F.col("fold") == f).drop("fold")) for f in range(5)]
+    folds = sorted(r.fold for r in scores(tb).select("fold").distinct().collect())
+    parts = [(f, scores(tb).where(F.col("fold") == f).drop("fold")) for f in folds]
     return store.pool_folds(parts).groupBy("scenario", "fold", "predictor").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -133,14 +133,13 @@ def s11(tb):
 
 def saved(tb):
     path = fresh_path(tb.spark, "predictions")
-    few = predictions(tb).where("predictor IN ('Zero', 'TargetScaling', 'Tech-duplicate')").withColumn("dataset", F.lit("tb"))
+    every = predictions(tb).withColumn("dataset", F.lit("tb"))
     d = tb.stage("deltas")
-    store.save_predictions(store.checked_predictions(few, d, d, tb.stage("genes")), path)
+    store.save_predictions(store.checked_predictions(every, d, d, tb.stage("genes")), path)
     return path
 
 
-PRED = """SELECT 'tb' AS dataset, scenario, fold, predictor, bin, ko, gene, round(delta, 6) + 0e0 AS delta FROM all_predictions
-WHERE predictor IN ('Zero', 'TargetScaling', 'Tech-duplicate')"""
+PRED = """SELECT 'tb' AS dataset, scenario, fold, predictor, bin, ko, gene, round(delta, 6) + 0e0 AS delta FROM all_predictions"""
 
 
 @query("S12_prediction_sink", PRED)
@@ -153,7 +152,7 @@ def s13(tb):
     return rounded(store.load_predictions(tb.spark, saved(tb), tb.stage("genes"), exact=True), "delta")
 
 
-@query("S13_intersection_scan", PRED + " AND gene IN (SELECT gene FROM fx_genes WHERE gene_ord % 2 = 0)")
+@query("S13_intersection_scan", PRED + " WHERE gene IN (SELECT gene FROM fx_genes WHERE gene_ord % 2 = 0)")
 def s13b(tb):
     panel = tb.stage("genes").where("gene_ord % 2 = 0")
     return rounded(store.load_predictions(tb.spark, saved(tb), panel, exact=False), "delta")

@@ -1,14 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages.
 
 Benchmark items are small and bounded (checked); the documents are read twice and never shuffled.
-The first pass counts every item n-gram over all documents. Of each window of ``WINDOW`` consecutive
-n-grams of an item the rarest is a seed, so any stretch of ``WINDOW + GRAM - 1`` unchanged words holds
-one however common the stretch is. The second pass cuts the passages around the seeds out of the
-documents; they are joined to the items on the seed and aligned word by word.
+The first pass counts every item n-gram over all documents. An alignment that reaches the score leaves
+at least ``intact`` n-grams of its item unbroken, wherever the edits are; so all n-grams that occur are
+seeds, but for the ``intact - 1`` most common. Items too short for that have shorter n-grams. The second
+pass cuts the passages around the seeds out of the documents; they are joined to the items on the seed
+and aligned word by word.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from deltascreen.llm.common import WordHasher, alnum_kind, blocks, stage, whole_text
 
-GRAM, WINDOW = 3, 3
+#: Words of a seed; fewer where that is what an alignment is sure to hold.
+GRAM = 3
 #: Share of an item's words that an alignment has to keep, edits taken off.
 MIN_SCORE = 0.6
 #: Words of the benchmark that are sent to every task; a larger benchmark has to be given in parts.
@@ -40,10 +44,25 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def least_score(words: int, min_score: float) -> int:
+    """Equal words less edits that an alignment with an item of so many words needs."""
+    return max(1, math.ceil(min_score * words - 1e-9))
+
+
+def intact(words: int, n: int, min_score: float) -> int:
+    """Unbroken n-grams that every alignment of ``min_score`` or more with an item of ``words`` words has.
+
+    With m equal words it has at most m - need edits, so at most m - need + 1 unbroken stretches, each
+    of which has n - 1 n-grams less than words. That is linear in m: the least is at one of the ends.
+    """
+    need = least_score(words, min_score)
+    return min(m - (n - 1) * (m - need + 1) for m in (need, max(need, words)))
+
+
 class Items:
     """Hashed words of the benchmark items, with the distinct n-grams of all of them in order."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], min_score: float = MIN_SCORE):
         hasher = _hasher()
         self.ids, self.words = [], []
         for item, text in rows:
@@ -53,21 +72,30 @@ class Items:
                 self.words.append(hashes)
         if sum(map(len, self.words)) > MAX_ITEM_WORDS:
             raise ValueError("the benchmark is larger than MAX_ITEM_WORDS: decontaminate against its parts in turn")
-        # an item shorter than a seed is one seed of its own length
-        self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
-        self.grams = [_grams(w, min(GRAM, len(w)))[: max(1, len(w) - GRAM + 1)] for w in self.words]
+        # the longest n-grams of which no alignment can break all
+        own = [next((n for n in range(GRAM, 1, -1) if intact(len(w), n, min_score) > 0), 1) for w in self.words]
+        self.spare = [intact(len(w), n, min_score) - 1 for w, n in zip(self.words, own, strict=True)]
+        self.sizes = sorted(set(own))
+        self.grams = [_grams(w, n)[: len(w) - n + 1] for w, n in zip(self.words, own, strict=True)]
         self.distinct = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, dtype=np.uint64)
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, dtype=np.uint64)
-        self.longest = max(map(len, self.words), default=0)
+        #: Document words that an alignment can span.
+        self.reach = max((2 * len(w) - least_score(len(w), min_score) for w in self.words), default=0)
 
     def seeds(self, counts: dict[int, int]) -> list[tuple[int, int]]:
-        """``(n-gram number, item number)``: the rarest n-gram of every window of each item."""
-        found = set()
-        for i, grams in enumerate(self.grams):
-            number = np.searchsorted(self.distinct, grams)
+        """``(n-gram number, item number)``: the n-grams of each item that occur, without the most common.
+
+        Those left out stand at no more than ``spare`` places of the item, so each alignment holds a seed.
+        """
+        found = []
+        for i, (grams, spare) in enumerate(zip(self.grams, self.spare, strict=True)):
+            number, places = np.unique(np.searchsorted(self.distinct, grams), return_counts=True)
             often = np.array([counts.get(int(n), 0) for n in number])
-            for at in range(max(1, len(number) - WINDOW + 1)):
-                found.add((int(number[at + int(np.argmin(often[at : at + WINDOW]))]), i))
+            for at in np.argsort(-often, kind="stable"):
+                if places[at] <= spare:
+                    spare -= places[at]
+                elif often[at]:
+                    found.append((int(number[at]), i))
         return sorted(found)
 
 
@@ -89,11 +117,11 @@ class _Lookup:
         return at[same], place[same]
 
 
-def _read_items(benchmark: DataFrame, id_col: str, text_col: str) -> Items:
+def _read_items(benchmark: DataFrame, id_col: str, text_col: str, min_score: float) -> Items:
     words = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
     if words > 8 * MAX_ITEM_WORDS:
         raise ValueError("the benchmark is larger than MAX_ITEM_WORDS: decontaminate against its parts in turn")
-    return Items(sorted((r[0], r[1] or "") for r in benchmark.where(F.col(id_col).isNotNull()).select(id_col, text_col).distinct().collect()))
+    return Items(sorted((r[0], r[1] or "") for r in benchmark.where(F.col(id_col).isNotNull()).select(id_col, text_col).distinct().collect()), min_score)
 
 
 def _hits(texts: list[bytes], hasher: WordHasher, lookup: _Lookup, sizes: list[int]):
@@ -146,7 +174,8 @@ def _passages(docs: DataFrame, items: Items, seeds: list[int], reach: int) -> Da
                 heads = np.searchsorted(owner, np.arange(owner[-1] + 2))
                 low = np.maximum(at - reach, heads[owner[at]])
                 high = np.minimum(at + reach + GRAM, heads[owner[at] + 1])
-                cut = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])  # windows that touch are one passage
+                # windows of a document that touch are one passage
+                cut = np.flatnonzero(np.r_[True, (low[1:] > high[:-1]) | (owner[at[1:]] != owner[at[:-1]])])
                 ends = np.r_[cut[1:], len(at)]
                 place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                 coded = np.where(vocabulary[place] == hashes, place, -1).astype(np.int32)
@@ -205,7 +234,7 @@ def _scores(pairs: DataFrame, min_score: float) -> DataFrame:
             item = [np.array(x, dtype=np.int32) for x in batch.column("item_words").to_pylist()]
             first = batch.column("first").to_numpy()
             # an alignment has no more equal words than both sides share: too few, and it can't reach the score
-            able = [i for i, (w, t) in enumerate(zip(words, item, strict=True)) if np.isin(t, w).sum() >= min_score * len(t)]
+            able = [i for i, (w, t) in enumerate(zip(words, item, strict=True)) if np.isin(t, w).sum() >= least_score(len(t), min_score)]
             able.sort(key=lambda i: (len(words[i]), len(item[i])))
             for a, b in blocks([len(words[i]) for i in able], CELLS // 8):
                 some = able[a:b]
@@ -249,14 +278,14 @@ def contaminated(
 
 def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_score: float) -> DataFrame:
     """Alignments of passages; ``text_key`` tells rows of one id, or without an id, apart by their texts."""
-    items = _read_items(benchmark, item_col, item_text_col)
+    items = _read_items(benchmark, item_col, item_text_col, min_score)
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     spark = docs.sparkSession
     if not len(items.distinct):
         return spark.createDataFrame([], MATCH)
     seeds = items.seeds({r.gram: r.n for r in _gram_counts(rows.select("text"), items).collect()})
-    found = stage(_passages(rows, items, sorted({g for g, _ in seeds}), 2 * items.longest), "passages")
+    found = stage(_passages(rows, items, sorted({g for g, _ in seeds}), items.reach), "passages")
     of_gram = spark.createDataFrame(seeds, "gram long, item int")
     coded = [np.searchsorted(items.vocabulary, w).tolist() for w in items.words]
     of_item = spark.createDataFrame(list(zip(range(len(coded)), items.ids, coded, strict=True)), "item int, item_id long, item_words array<int>")

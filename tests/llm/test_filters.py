@@ -64,6 +64,35 @@ def test_edited_copies(spark, every):
     assert sorted(r.doc_id or 0 for r in decontamination.clean(df, bench).collect()) == [0, 3, 4]
 
 
+def test_copies_edited_every_few_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 16, 38, 40)]
+    copies = [[word() for _ in range(50)]]
+    for item in items:
+        for every in (2, 3, 4, 5):
+            last = [k % every == every - 1 for k in range(len(item))]
+            copies.append([x for w, e in zip(item, last, strict=True) for x in ([w, word()] if e else [w])])
+            copies.append([word() if e else w for w, e in zip(item, last, strict=True)])
+            copies.append([w for w, e in zip(item, last, strict=True) if not e])
+        copies.append((item[: len(item) // 2] + [word()]) * 9)  # makes intact n-grams common
+        copies.append(item[: -(-len(item) * 3 // 5)])
+    df = spark.createDataFrame([(i, " ".join([word(), *c, word()])) for i, c in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    scores = {(d, i): brute_alignment(w, c) / len(w) for d, c in enumerate(copies) for i, w in enumerate(items)}
+    for least in (0.6, 0.35):
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(df, bench, min_score=least).collect()}
+        assert got == pytest.approx({k: v for k, v in scores.items() if v >= least - 1e-9})
+
+
+def test_passages_end_with_their_document(spark):
+    item = [f"w{k}" for k in range(20)]
+    docs = [(1, " ".join(["x", *item[:10]])), (2, " ".join([*item[10:], "y"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert decontamination.contaminated(df, bench).count() == 0
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "other words of the same id"), (2, "one")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(odd, bench).collect()) == [(9, 1), (9, 2), (10, 2)]

@@ -198,15 +198,15 @@ def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Best local alignment score and its last passage word (exclusive), for rows of padded words.
 
     A pair of equal words scores 1, a changed, missing or added word costs 1. Padding is -2 in
-    ``items`` and -1 in ``passages``, which equals nothing.
+    ``items`` and -1 in ``passages``, which equals nothing. A passage of merged windows can have any length.
     """
     pairs, width = passages.shape
-    steps = np.arange(width + 1, dtype=np.int16) * GAP
-    above = np.zeros((pairs, width + 1), dtype=np.int16)
-    best, end = np.zeros(pairs, dtype=np.int16), np.zeros(pairs, dtype=np.int64)
+    steps = np.arange(width + 1, dtype=np.int32) * GAP
+    above = np.zeros((pairs, width + 1), dtype=np.int32)
+    best, end = np.zeros(pairs, dtype=np.int32), np.zeros(pairs, dtype=np.int64)
     for k in range(items.shape[1]):
         row = np.zeros_like(above)
-        step = np.where(passages == items[:, k : k + 1], 1, -MISMATCH).astype(np.int16)
+        step = np.where(passages == items[:, k : k + 1], 1, -MISMATCH).astype(np.int32)
         np.maximum(above[:, :-1] + step, above[:, 1:] - GAP, out=row[:, 1:])
         np.maximum(row, 0, out=row)
         row = np.maximum(np.maximum.accumulate(row + steps, axis=1) - steps, 0)  # words left out of the item

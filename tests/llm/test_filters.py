@@ -93,6 +93,15 @@ def test_passages_end_with_their_document(spark):
     assert decontamination.contaminated(df, bench).count() == 0
 
 
+def test_alignment_in_very_long_passages():
+    item, width = np.arange(20, dtype=np.int32), 75_000
+    at_end, clean = np.full(width, -1, dtype=np.int32), np.full(width, -1, dtype=np.int32)
+    at_end[-20:] = item
+    clean[5_000::5_000] = item[:14]  # most of the item's words, far apart
+    best, end = decontamination.align(np.array([item, item]), np.array([at_end, clean]))
+    assert best.tolist() == [20, 1] and end[0] == width
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "other words of the same id"), (2, "one")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(odd, bench).collect()) == [(9, 1), (9, 2), (10, 2)]

@@ -172,6 +172,40 @@ def test_embeddings_against_brute_force(spark, monkeypatch, size):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_group_of_copies_does_not_hide_missed_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CLUSTER", 40)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base, other = unit(rng.normal(size=(700, 32))), unit(rng.normal(size=(700, 32)))
+    other = unit(other - (other * base).sum(axis=1, keepdims=True) * base)
+    pairs = 0.94 * base + np.sqrt(1 - 0.94**2) * other
+    group = unit(base[0] + 0.02 * rng.normal(size=(400, 32)))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, pairs, group]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "OVERLAP", (1,))
+    with pytest.raises(RuntimeError, match="recall"):
+        embeddings.near_duplicates(df)
+    monkeypatch.setattr(embeddings, "OVERLAP", (1, 64))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[i].component_id == got[700 + i].component_id for i in range(700)) >= 0.97 * 700
+
+
+def test_an_audit_grows_and_without_links_measures_nothing(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "AUDITED_LEAST", 10)
+    monkeypatch.setattr(embeddings, "AUDIT_BLOCK", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, v, 0) for i, v in enumerate(rng.normal(size=(4000, 24)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    every = embeddings.stage(embeddings.classes(df, "vec_id", "embedding", "label"), "audit-test")
+    true, whole = embeddings.true_links(every, 0.999)
+    assert not whole and 50 <= true.count() <= 120 and true.count() == true.select("class").distinct().count()
+    none = spark.createDataFrame([], "class long, links long, root long")
+    assert embeddings.audit(true, none) is None
+    monkeypatch.setattr(embeddings, "OVERLAP", (1, 2))
+    with pytest.warns(UserWarning, match="not measured"):
+        embeddings.near_duplicates(df, threshold=0.999)
+
+
 def test_pipeline_stages(spark):
     """Every stage against its own rule, on the rows that the stage before it kept."""
     if importlib.util.find_spec("corpus_pipeline") is None:

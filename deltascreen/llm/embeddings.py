@@ -6,8 +6,9 @@ Each chunk gets a flat graph whose edges are robust-pruned: a near neighbour is
 one is much nearer to it. The adjacency lists of a class from all its shards are united. Chunks of a
 shard meet in pairs: every class of one searches the graph of the other greedily from its medoid,
 then expands everything within range. Links are the pairs whose cosine in double precision reaches
-the threshold. A pair is counted in its first common shard only, so no list of pairs is needed. An
-audit compares one class in ``AUDITED`` with all others; the search widens while it misses too much
+the threshold. A pair is counted in its first common shard only, so no list of pairs is needed; one
+that shares several shards is compared there in full, so no link that another shard's search finds is
+lost. An audit compares one class in ``AUDITED`` with all others; the search widens while it misses too much
 or the audit saw no link, and fails when the widest one still misses too much.
 """
 
@@ -204,6 +205,14 @@ def _padded(ids: np.ndarray, neighbours: list) -> np.ndarray:
     return out
 
 
+def common(shards: list, shards2: list, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of two lists of classes: is ``shard`` the first that they share, and do they share others."""
+    every = np.unique(np.concatenate([*shards, *shards2]))
+    left, right = (np.array([np.isin(every, own) for own in side], dtype=np.float32) for side in (shards, shards2))
+    lower = every < shard
+    return left[:, lower] @ right[:, lower].T < 0.5, left @ right.T > 1.5
+
+
 def _meet(pairs: DataFrame, threshold: float, beam: int) -> DataFrame:
     """Links between two chunks of a shard: ``(class, links, root)``, a star for each linked group."""
 
@@ -221,12 +230,11 @@ def _meet(pairs: DataFrame, threshold: float, beam: int) -> DataFrame:
         (ids, x, lists, n, shards), (ids2, x2, lists2, n2, shards2) = sides[0], sides[-1]
         found = search(x, x2, lists2, threshold, beam) >= threshold
         found |= (search(x2, x, lists, threshold, beam) >= threshold).T if len(sides) > 1 else found.T
-        a, b = np.nonzero(found)
+        first, several = common(shards, shards2, shard)
+        found |= several & (x @ x2.T >= threshold)
+        a, b = np.nonzero(found & first)
         lead = ids[a] < ids2[b] if len(sides) == 1 else np.ones(len(a), dtype=bool)
         a, b = a[lead], b[lead]
-        # a pair that shares several shards is counted in the first of them
-        mine = np.array([min(set(shards[i]) & set(shards2[j])) == shard for i, j in zip(a, b, strict=True)], dtype=bool)
-        a, b = a[mine], b[mine]
         every = np.unique(np.concatenate([ids, ids2]))
         left, right = np.searchsorted(every, ids[a]), np.searchsorted(every, ids2[b])
         links = np.bincount(left, weights=n2[b], minlength=len(every)) + np.bincount(right, weights=n[a], minlength=len(every))

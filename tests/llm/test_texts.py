@@ -172,6 +172,16 @@ def test_embeddings_against_brute_force(spark, monkeypatch, size):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_link_that_only_a_later_shard_finds_is_kept(spark):
+    vectors = (np.ones(8) + 0.05 * np.random.default_rng(6).normal(size=(12, 8))).tolist()
+    ids = list(range(12))
+    # in shard 3 no class has neighbours, so the search sees one node only; shard 5 has the whole graph
+    rows = [("8:0", shard, 0, 0, 0, i, vectors[i], 1, [3, 5], ids if shard == 5 else []) for shard in (3, 5) for i in ids]
+    names = "space string, shard int, first int, second int, chunk int, class long, vector array<double>, n long, shards array<int>, neighbours array<long>"
+    got = embeddings._meet(spark.createDataFrame(rows, names), 0.93, 4).collect()
+    assert sorted((r["class"], r.links, r.root) for r in got) == [(i, 11, 0) for i in ids]
+
+
 def test_a_group_of_copies_does_not_hide_missed_pairs(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CLUSTER", 40)
     rng = np.random.default_rng(3)

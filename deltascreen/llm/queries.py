@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.llm import chat, decontamination, embeddings, licenses, packing, quality, secrets, simhash, token_counts, urls
+from deltascreen.llm import chat, decontamination, embeddings, licenses, packing, quality, secrets, simhash, structure, token_counts, urls
 from deltascreen.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversation_repair", structure.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.summaries(structure.repair(structure.damage(table(spark, sf_dir, "conversations"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.llm import chat, decontamination, embeddings, licenses, packing, quality, secrets, simhash, structure, token_counts, urls
+from deltascreen.llm import chat, decontamination, embeddings, licenses, negatives, packing, quality, secrets, simhash, structure, token_counts, toxicity, urls
 from deltascreen.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_conversation_repair", structure.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.summaries(structure.repair(structure.damage(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_hard_negatives", negatives.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "spans": spans})

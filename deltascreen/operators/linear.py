@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 FOLD = ["scenario", "fold"]
 # residual at which the iterative solve stops, relative to its right-hand side
 RESIDUAL = 1e-13
+# residual above which a solve that has stopped is an error
+UNSOLVED = 1e-6
+# singular values below this share of the greatest are rounding errors: their vectors are any of the null space
+NULL_SPACE = 1e-7
 
 
 def schur_solve(b: np.ndarray, k: np.ndarray, d_b: np.ndarray, d_k: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -39,6 +43,9 @@ def schur_solve(b: np.ndarray, k: np.ndarray, d_b: np.ndarray, d_k: np.ndarray,
         z = r / d_b
         rz, last = r @ z, rz
         p = z + rz / last * p
+    left = np.linalg.norm(apply(x) - right)
+    if left > UNSOLVED * max(np.linalg.norm(right), 1e-300):
+        raise ArithmeticError(f"bin effects did not converge: residual {left:.3g} of {np.linalg.norm(right):.3g}")
     return x
 
 
@@ -85,7 +92,7 @@ def right_singular(
     ).persist()
     matrix = RowMatrix(vectors, *(shape or (0, 0)))
     rank = int(min(k, matrix.numCols(), matrix.numRows()))
-    svd = matrix.computeSVD(rank, computeU=False)
+    svd = matrix.computeSVD(rank, computeU=False, rCond=NULL_SPACE)
     vectors.unpersist()
     return np.asarray(svd.V.toArray()), np.asarray(svd.s.toArray())
 

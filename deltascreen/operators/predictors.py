@@ -19,6 +19,9 @@ from deltascreen.operators.splits import SCENARIOS
 
 FOLD = ["scenario", "fold"]
 KEYS = [*FOLD, "bin", "ko", "gene"]
+#: Columns of trained state: parts of a fold, keyed by what each part needs (see ``trained``).
+STATE_SCHEMA = "scenario string, fold int, part string, bin string, ko string, gene string, i int, j int, weight double"
+STATE = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 
 
 @dataclass
@@ -64,6 +67,9 @@ class Predictor:
     fn: Callable[[Screen], DataFrame]
     needs_training: bool = False
     has_drop_rule: bool = False
+    fit: Callable[[Screen], DataFrame] | None = None
+    predict: Callable[[Screen, DataFrame], DataFrame] | None = None
+    parameters: Callable[[dict], dict] = lambda options: {}
 
 
 REGISTRY: dict[str, Predictor] = {}
@@ -79,6 +85,25 @@ def register_predictor(name, category, scenarios, needs_training=False, has_drop
     return wrap
 
 
+def register_trained(name, scenarios, fit, predict, parameters=lambda options: {}, has_drop_rule=False):
+    """A predictor that learns state rows with ``fit`` and needs only them (and control tables) in ``predict``."""
+    register_predictor(name, "learned", scenarios, True, has_drop_rule)(lambda s: predict(s, fit(s)))
+    REGISTRY[name].fit, REGISTRY[name].predict, REGISTRY[name].parameters = fit, predict, parameters
+
+
+def as_state(df: DataFrame, name: str, **columns) -> DataFrame:
+    """Rows of one part; keys that it does not name are null."""
+    kinds = dict(c.split() for c in STATE_SCHEMA.split(", "))
+    named = {"part": F.lit(name)} | {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
+    keys = [named.get(c, F.col(c) if c in FOLD else F.lit(None)).cast(kinds[c]).alias(c) for c in STATE]
+    return df.select(*keys)
+
+
+def part(state: DataFrame, name: str, **columns: str) -> DataFrame:
+    """One part of a state: its fold and the named columns, renamed (``column="new name"``)."""
+    return state.where(F.col("part") == name).select(*FOLD, *[F.col(k).alias(v) for k, v in columns.items()])
+
+
 def emit(df: DataFrame, delta) -> DataFrame:
     return df.select(*KEYS, delta.cast("double").alias("delta"))
 
@@ -95,15 +120,18 @@ def guarded(df: DataFrame, screen: Screen) -> DataFrame:
     return df.unionByName(empty.select(*FOLD, *names, bad.alias("delta")))
 
 
-def run(name: str, screen: Screen) -> DataFrame:
-    """Predictions of one predictor on the scenarios it serves."""
-    spec = REGISTRY[name]
-    served = F.col("scenario").isin(spec.scenarios)
-    scoped = Screen(
+def scoped(name: str, screen: Screen) -> Screen:
+    """The screen on the scenarios that a predictor serves."""
+    served = F.col("scenario").isin(REGISTRY[name].scenarios)
+    return Screen(
         screen.deltas, screen.ctrl, screen.genes, screen.split.where(served), screen.alpha, screen.options,
         None if screen.rect_table is None else screen.rect_table.where(served),
     )
-    return spec.fn(scoped).withColumn("predictor", F.lit(name))
+
+
+def run(name: str, screen: Screen) -> DataFrame:
+    """Predictions of one predictor on the scenarios it serves."""
+    return REGISTRY[name].fn(scoped(name, screen)).withColumn("predictor", F.lit(name))
 
 
 def run_all(names: list[str], screen: Screen) -> DataFrame:
@@ -260,42 +288,54 @@ def target_scale(s: Screen) -> DataFrame:
     return folds.join(sums, FOLD, "left").select(*FOLD, alpha.alias("scale"))
 
 
-@register_predictor("TargetScaling", "learned", SCENARIOS, needs_training=True, has_drop_rule=True)
-def target_scaling(s: Screen) -> DataFrame:
-    rows = _target_grid(s).join(target_scale(s), FOLD)
+def scale_state(s: Screen) -> DataFrame:
+    return as_state(target_scale(s), "scale", weight="scale")
+
+
+def scaled_targets(s: Screen, state: DataFrame) -> DataFrame:
+    rows = _target_grid(s).join(part(state, "scale", weight="scale"), FOLD)
     return emit(rows, F.when(F.col("hit"), -F.col("scale") * F.col("ctrl")).otherwise(0.0))
 
 
-@register_predictor(
-    "Mean+TargetScaling", "learned", ["UnseenPert", "UnseenCell", "UnseenBoth", "UnseenPair"],
-    needs_training=True, has_drop_rule=True,
-)
-def mean_plus_target_scaling(s: Screen) -> DataFrame:
+register_trained("TargetScaling", SCENARIOS, scale_state, scaled_targets, has_drop_rule=True)
+
+
+def mean_and_scale_state(s: Screen) -> DataFrame:
+    """The scenario's training means (by bin, by label or over both) and the target factor."""
+    train = lambda *names: s.train.where(F.col("scenario").isin(*names))
+    return (
+        scale_state(s)
+        .unionByName(as_state(bulk.mean_per_bin(s.deltas, train("UnseenPert", "UnseenPair")), "mean_bin", bin="bin", gene="gene", weight="m_bin"))
+        .unionByName(as_state(bulk.mean_per_ko(s.deltas, train("UnseenCell")), "mean_ko", ko="ko", gene="gene", weight="m_ko"))
+        .unionByName(as_state(bulk.mean_all(s.deltas, train("UnseenBoth")), "mean_all", gene="gene", weight="m_all"))
+    )
+
+
+def mean_and_scaled_targets(s: Screen, state: DataFrame) -> DataFrame:
     """The scenario's mean plus the target term; a missing term counts as zero."""
+    means = (
+        s.grid.join(part(state, "mean_bin", bin="bin", gene="gene", weight="m"), [*FOLD, "bin", "gene"]).select(*KEYS, "ctrl", "m")
+        .unionByName(s.grid.join(part(state, "mean_ko", ko="ko", gene="gene", weight="m"), [*FOLD, "ko", "gene"]).select(*KEYS, "ctrl", "m"))
+        .unionByName(s.grid.join(part(state, "mean_all", gene="gene", weight="m"), [*FOLD, "gene"]).select(*KEYS, "ctrl", "m"))
+    )
+    hits = s.targets.withColumn("hit", F.lit(True))
+    rows = means.join(part(state, "scale", weight="scale"), FOLD).join(hits, ["ko", "gene"], "left")
+    return emit(rows, F.col("m") - F.when(F.col("hit"), F.col("scale") * F.col("ctrl")).otherwise(0.0))
 
-    def scope(names):
-        return Screen(s.deltas, s.ctrl, s.genes, s.split.where(F.col("scenario").isin(names)))
 
-    means = mean_over_perturbations(scope(["UnseenPert", "UnseenPair"])).unionByName(
-        mean_over_cell_types(scope(["UnseenCell"]))
-    ).unionByName(mean_over_both(scope(["UnseenBoth"])))
-    hits = s.targets.join(s.deltas.select("bin", "ko", "gene", "ctrl"), ["ko", "gene"])
-    term = hits.select("bin", "ko", "gene", "ctrl")
-    rows = means.join(target_scale(s), FOLD).join(term, ["bin", "ko", "gene"], "left")
-    return emit(rows, F.col("delta") - F.coalesce(F.col("scale") * F.col("ctrl"), F.lit(0.0)))
+register_trained(
+    "Mean+TargetScaling", ["UnseenPert", "UnseenCell", "UnseenBoth", "UnseenPair"], mean_and_scale_state, mean_and_scaled_targets,
+    has_drop_rule=True,
+)
 
 
 # ---- learned -----------------------------------------------------------------------------
-def ridge_predictions(s: Screen, coefficients: DataFrame) -> DataFrame:
+def ridge_predictions(s: Screen, state: DataFrame) -> DataFrame:
     """Apply a coefficient table; a level without training weight contributes zero."""
-    part = lambda kind, name: coefficients.where(F.col("kind") == kind).select(
-        *FOLD, "gene", F.col("term").alias(name), F.col("weight").alias(f"w_{name}")
-    )
-    mean = coefficients.where("kind = 'mean'").select(*FOLD, "gene", F.col("weight").alias("w_mean"))
     rows = (
-        s.grid.join(mean, [*FOLD, "gene"])
-        .join(part("bin", "bin"), [*FOLD, "gene", "bin"], "left")
-        .join(part("ko", "ko"), [*FOLD, "gene", "ko"], "left")
+        s.grid.join(part(state, "mean", gene="gene", weight="w_mean"), [*FOLD, "gene"])
+        .join(part(state, "bin", bin="bin", gene="gene", weight="w_bin"), [*FOLD, "gene", "bin"], "left")
+        .join(part(state, "ko", ko="ko", gene="gene", weight="w_ko"), [*FOLD, "gene", "ko"], "left")
     )
     zero = F.lit(0.0)
     return emit(rows, F.col("w_mean") + F.coalesce("w_bin", zero) + F.coalesce("w_ko", zero))
@@ -306,17 +346,18 @@ def ridge_fit(s: Screen, lam: float) -> DataFrame:
     return linear.ridge_coefficients(rows, lam)
 
 
-_RIDGE_SCENARIOS = ["UnseenPert", "UnseenCell", "UnseenBoth", "UnseenPair", "UnseenCombo"]
-
+def ridge_state(s: Screen, lam: float) -> DataFrame:
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("term"))
+    return as_state(ridge_fit(s, lam), "", part=F.col("kind"), bin=of("bin"), ko=of("ko"), gene="gene", weight="weight")
 
-@register_predictor("Ridge", "learned", _RIDGE_SCENARIOS, needs_training=True)
-def ridge(s: Screen) -> DataFrame:
-    return ridge_predictions(s, ridge_fit(s, 1.0))
 
+_RIDGE_SCENARIOS = ["UnseenPert", "UnseenCell", "UnseenBoth", "UnseenPair", "UnseenCombo"]
 
-@register_predictor("LinearAdditive", "learned", _RIDGE_SCENARIOS, needs_training=True)
-def linear_additive(s: Screen) -> DataFrame:
-    return ridge_predictions(s, ridge_fit(s, 1e-8))
+register_trained(
+    "Ridge", _RIDGE_SCENARIOS, lambda s: ridge_state(s, s.options.get("lam", 1.0)), ridge_predictions,
+    parameters=lambda options: {"lam": options.get("lam", 1.0)},
+)
+register_trained("LinearAdditive", _RIDGE_SCENARIOS, lambda s: ridge_state(s, 1e-8), ridge_predictions, parameters=lambda options: {"lam": 1e-8})
 
 
 def pair_id() -> Column:
@@ -332,32 +373,43 @@ def id_pair(name: str) -> tuple[Column, Column]:
     return whole.substr(F.lit(1), size), whole.substr(size + 2, F.length(whole) - F.length(tail) - size - 2)
 
 
-@register_predictor("Correlation", "learned", ["UnseenPert", "UnseenBoth"], needs_training=True)
-def correlation(s: Screen) -> DataFrame:
+def correlation_state(s: Screen) -> DataFrame:
+    """The training pairs of every fold, and the profile of every pair that trains in some fold, once for all."""
+    pairs = as_state(s.train.withColumn("one", F.lit(1.0)), "reference", bin="bin", ko="ko", weight="one")
+    used = s.deltas.join(s.train.select("bin", "ko").distinct(), ["bin", "ko"], "left_semi")
+    fold = {"scenario": F.lit("*"), "fold": F.lit(-1)}
+    return pairs.unionByName(as_state(used, "profile", **fold, bin="bin", ko="ko", gene="gene", weight="d_all"))
+
+
+def correlated(s: Screen, state: DataFrame) -> DataFrame:
     """Copies the delta of the most correlated training label of the same bin.
 
     The query is the test label's own delta, so this is an upper reference, not a forecast. A test
     bin without training pairs is compared with the training pairs of every bin.
     """
-    profiles = blocks.pack(s.deltas, ["bin", "ko"], {"d_all": "v"})
-    trained = s.train.select(*FOLD, "bin").distinct().withColumn("own_bin", F.lit(True))
+    train = part(state, "reference", bin="bin", ko="ko")
+    known = part(state, "profile", bin="bin", ko="ko", gene="gene", weight="d_all").drop(*FOLD)
+    trained = train.select(*FOLD, "bin").distinct().withColumn("own_bin", F.lit(True))
     queries = s.rect.join(trained, [*FOLD, "bin"], "left").select(
         *FOLD, "bin", "ko", F.when(F.col("own_bin"), F.col("bin")).otherwise("*").alias("pool")
     )
     need_all = queries.where("pool = '*'").select(*FOLD).distinct()
-    refs = s.train.withColumn("pool", F.col("bin")).unionByName(
-        s.train.join(need_all, FOLD, "left_semi").withColumn("pool", F.lit("*"))
+    refs = train.withColumn("pool", F.col("bin")).unionByName(
+        train.join(need_all, FOLD, "left_semi").withColumn("pool", F.lit("*"))
     )
-    named = lambda df: df.join(profiles, ["bin", "ko"]).select(
+    named = lambda pairs, deltas: pairs.join(blocks.pack(deltas, ["bin", "ko"], {"d_all": "v"}), ["bin", "ko"]).select(
         *FOLD, "pool", pair_id().alias("id"), "v"
     )
-    best = discrimination.nearest_reference(named(queries), named(refs), [*FOLD, "pool"])
+    best = discrimination.nearest_reference(named(queries, s.deltas), named(refs, known), [*FOLD, "pool"])
     (qb, qk), (rb, rk) = id_pair("id"), id_pair("ref")
     chosen = best.select(*FOLD, qb.alias("bin"), qk.alias("ko"), rb.alias("ref_bin"), rk.alias("ref_ko"))
-    source = s.deltas.select(F.col("bin").alias("ref_bin"), F.col("ko").alias("ref_ko"), "gene", "d_all")
+    source = known.select(F.col("bin").alias("ref_bin"), F.col("ko").alias("ref_ko"), "gene", "d_all")
     return emit(chosen.join(source, ["ref_bin", "ref_ko"]), F.col("d_all"))
 
 
+register_trained("Correlation", ["UnseenPert", "UnseenBoth"], correlation_state, correlated)
+
+
 def epistasis_fit(s: Screen, lam: float = 1.0) -> DataFrame:
     """Per-feature interaction weight from training combinations (zero where there is none)."""
     truth = s.deltas.select("bin", "ko", "gene", F.col("d_all").alias("d_ab"))
@@ -367,13 +419,22 @@ def epistasis_fit(s: Screen, lam: float = 1.0) -> DataFrame:
     return rows.groupBy(*FOLD, "gene").agg((F.sum(f * y) / (F.sum(f * f) + lam)).alias("w"))
 
 
-@register_predictor("GlobalEpistasis", "learned", ["UnseenCombo"], needs_training=True, has_drop_rule=True)
-def global_epistasis(s: Screen) -> DataFrame:
-    rows = combo_deltas(s.rect, s.deltas).join(epistasis_fit(s), [*FOLD, "gene"], "left")
+def epistasis_state(s: Screen) -> DataFrame:
+    return as_state(epistasis_fit(s, s.options.get("epistasis_lam", 1.0)), "w", gene="gene", weight="w")
+
+
+def global_epistasis(s: Screen, state: DataFrame) -> DataFrame:
+    rows = combo_deltas(s.rect, s.deltas).join(part(state, "w", gene="gene", weight="w"), [*FOLD, "gene"], "left")
     a, b = F.col("d_a"), F.col("d_b")
     return emit(rows, a + b + F.coalesce("w", F.lit(0.0)) * a * b)
 
 
+register_trained(
+    "GlobalEpistasis", ["UnseenCombo"], epistasis_state, global_epistasis, has_drop_rule=True,
+    parameters=lambda options: {"lam": options.get("epistasis_lam", 1.0)},
+)
+
+
 # ---- low rank ----------------------------------------------------------------------------
 def _label_embedding(emb: DataFrame, kos: DataFrame, single_only: bool) -> DataFrame:
     """Mean embedding of a label's targets per fold; every target has to resolve."""
@@ -451,8 +512,23 @@ def _low_rank_fit(s: Screen, bilinear: bool, k: int, ridge_a: float, ridge_b: fl
     return emb, center, core
 
 
-def _low_rank(s: Screen, bilinear: bool, k: int, ridge_a: float, ridge_b: float) -> DataFrame:
-    emb, center, core = _low_rank_fit(s, bilinear, k, ridge_a, ridge_b)
+def low_rank_state(s: Screen, bilinear: bool) -> DataFrame:
+    emb, center, core = _low_rank_fit(s, bilinear, s.options.get("k", 10), 0.1, 0.1)
+    rows = core.select(*FOLD, F.posexplode("core").alias("i", "row")).select(*FOLD, "i", F.posexplode("row").alias("j", "w"))
+    return (
+        as_state(emb.select(*FOLD, "gene", F.posexplode("e").alias("i", "w")), "basis", gene="gene", i="i", weight="w")
+        .unionByName(as_state(center, "center", gene="gene", weight="center"))
+        .unionByName(as_state(rows, "core", i="i", j="j", weight="w"))
+    )
+
+
+def low_rank_predictions(s: Screen, state: DataFrame, bilinear: bool) -> DataFrame:
+    def vector(df, keys, at, value, name):
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("p")).select(*keys, F.col(f"p.{value}").alias(name))
+
+    emb = vector(part(state, "basis", gene="gene", i="i", weight="w"), [*FOLD, "gene"], "i", "w", "e")
+    core = vector(vector(part(state, "core", i="i", j="j", weight="w"), [*FOLD, "i"], "j", "w", "row"), FOLD, "i", "row", "core")
+    center = part(state, "center", gene="gene", weight="center")
     label = _label_embedding(emb, s.rect.select(*FOLD, "ko").distinct(), bilinear)
     q = F.transform("core", lambda row: blocks.dot(row, F.col("b")))
     queries = label.join(core, FOLD).select(*FOLD, "ko", q.alias("q"))
@@ -463,16 +539,17 @@ def _low_rank(s: Screen, bilinear: bool, k: int, ridge_a: float, ridge_b: float)
     return emit(rows, blocks.dot(F.col("e"), F.col("q")) + F.col("center"))
 
 
-@register_predictor("BilinearRidge", "learned", ["UnseenPert"], needs_training=True, has_drop_rule=True)
-def bilinear_ridge(s: Screen) -> DataFrame:
-    """Deltas as basis * W * basis(label) + offset, basis = top components of training profiles."""
-    return _low_rank(s, True, s.options.get("k", 10), 0.1, 0.1)
+def _register_low_rank(name: str, scenarios: list[str], bilinear: bool) -> None:
+    register_trained(
+        name, scenarios, lambda s: low_rank_state(s, bilinear), lambda s, state: low_rank_predictions(s, state, bilinear),
+        parameters=lambda options: {"k": options.get("k", 10), "ridge": 0.1}, has_drop_rule=True,
+    )
 
 
-@register_predictor("LatentAdditive", "learned", _RIDGE_SCENARIOS, needs_training=True, has_drop_rule=True)
-def latent_additive(s: Screen) -> DataFrame:
-    """Feature embedding * K * mean target embedding + centre, one profile per label."""
-    return _low_rank(s, False, s.options.get("k", 10), 0.1, 0.1)
+# Deltas as basis * W * basis(label) + offset, basis = top components of training profiles.
+_register_low_rank("BilinearRidge", ["UnseenPert"], True)
+# Feature embedding * K * mean target embedding + centre, one profile per label.
+_register_low_rank("LatentAdditive", _RIDGE_SCENARIOS, False)
 
 
 # ---- controls ----------------------------------------------------------------------------

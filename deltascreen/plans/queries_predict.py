@@ -1,8 +1,11 @@
 """Predictors on every scenario they serve, against SQL."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from deltascreen.operators import deg, predictors, splits
+from deltascreen.operators import deg, predictors, trained
+from deltascreen.operators.scale import fresh_path
 from deltascreen.plans.registry import cte, query, r6, rounded
 
 
@@ -148,7 +151,74 @@ def p10b(tb):
 
 @query("P20_ridge_coefficients")
 def p20(tb):
-    return rounded(predictors.ridge_fit(screen(tb, "UnseenPert"), 1.0), "weight")
+    return rounded(predictors.ridge_fit(predictors.scoped("Ridge", screen(tb)), 1.0), "weight")
+
+
+RESTORED = ["TargetScaling", "Mean+TargetScaling", "Correlation", "GlobalEpistasis"]
+
+
+@query("P20_restored_predictions", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS predictor, {OUT.format(v='delta')} FROM ({PREDICTIONS[n]}) z WHERE scenario IN {served(n)}" for n in RESTORED))
+def p20_restored(tb):
+    """Fitted, stored, checked, restored and applied to a screen that has no training pairs any more."""
+    s, root = screen(tb), fresh_path(tb.spark, "trained")
+    trained.persist(RESTORED, s, root, 42)
+    state = trained.restore(RESTORED, s, root, 42)
+    blind = replace(s, split=s.split.where("label = 'test'"))
+    return rounded(trained.apply_all(RESTORED, blind, state), "delta")
+
+
+@query("P20_stored_parts", """
+SELECT 'TargetScaling' AS predictor, scenario, fold, 'scale' AS part, count(*) AS n, round(sum(a), 6) + 0e0 AS total FROM tscale GROUP BY 1, 2, 3
+UNION ALL SELECT 'Mean+TargetScaling', scenario, fold, 'scale', count(*), round(sum(a), 6) + 0e0 FROM tscale
+  WHERE scenario IN ('UnseenPert', 'UnseenPair', 'UnseenCell', 'UnseenBoth') GROUP BY 1, 2, 3
+UNION ALL SELECT 'Mean+TargetScaling', scenario, fold, 'mean_bin', count(*), round(sum(m), 6) + 0e0 FROM mean_bin
+  WHERE scenario IN ('UnseenPert', 'UnseenPair') GROUP BY 1, 2, 3
+UNION ALL SELECT 'Mean+TargetScaling', scenario, fold, 'mean_ko', count(*), round(sum(m), 6) + 0e0 FROM mean_ko WHERE scenario = 'UnseenCell' GROUP BY 1, 2, 3
+UNION ALL SELECT 'Mean+TargetScaling', scenario, fold, 'mean_all', count(*), round(sum(m), 6) + 0e0 FROM mean_all WHERE scenario = 'UnseenBoth' GROUP BY 1, 2, 3
+UNION ALL SELECT 'GlobalEpistasis', scenario, fold, 'w', count(*), round(sum(w), 6) + 0e0 FROM (
+  SELECT scenario, fold, gene, sum(da * db * (d_all - da - db)) / (sum(da * db * da * db) + 1) AS w FROM combo_train WHERE scenario = 'UnseenCombo' GROUP BY 1, 2, 3) z
+  GROUP BY 1, 2, 3
+UNION ALL SELECT 'Correlation', scenario, fold, 'reference', count(*), count(*) + 0e0 FROM train WHERE scenario IN ('UnseenPert', 'UnseenBoth') GROUP BY 1, 2, 3
+""" + "\n".join(f"UNION ALL SELECT '{n}', scenario, fold, 'fitted', 1, count(*) + 0e0 FROM train WHERE scenario IN {served(n)} GROUP BY 1, 2, 3" for n in RESTORED) + """
+UNION ALL SELECT 'Correlation', '*', -1, 'profile', count(*), round(sum(d_all), 6) + 0e0 FROM deltas d
+  WHERE EXISTS (SELECT 1 FROM train t WHERE t.bin = d.bin AND t.ko = d.ko AND t.scenario IN ('UnseenPert', 'UnseenBoth'))
+""")
+def p20_parts(tb):
+    state = trained.fit_all(RESTORED, screen(tb))
+    return rounded(state.groupBy("predictor", "scenario", "fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")), "total")
+
+
+@query("S18_staleness", """
+SELECT 'TargetScaling' AS predictor, scenario, fold, CASE
+  WHEN scenario = 'UnseenPert' AND fold = 0 THEN 'missing' WHEN scenario = 'UnseenCell' THEN 'seed changed' WHEN scenario = 'UnseenBoth' THEN 'axis changed'
+  WHEN scenario = 'UnseenPair' AND EXISTS (SELECT 1 FROM ps p WHERE p.scenario = f.scenario AND p.fold = f.fold AND p.label = 'train'
+    AND p.bin = (SELECT max(bin) FROM ps)) THEN 'split changed'
+  WHEN scenario = 'UnseenDose' AND fold = 0 THEN 'artefact missing: fitted, scale' END AS reason
+FROM (SELECT DISTINCT scenario, fold FROM ps) f
+UNION ALL SELECT 'GlobalEpistasis', scenario, fold, 'recipe changed' FROM (SELECT DISTINCT scenario, fold FROM ps WHERE scenario = 'UnseenCombo') g
+""")
+def s18(tb):
+    """What a store says after each kind of change: every scenario's state is fitted on tables that differ in one respect."""
+    s, root = screen(tb), fresh_path(tb.spark, "stale")
+    last_gene = s.genes.agg(F.max("gene")).scalar()
+    last_bin = s.split.agg(F.max("bin")).scalar()
+    lost = F.when((F.col("bin") == last_bin) & (F.col("label") == "train"), "val").otherwise(F.col("label"))
+    name, now = ["TargetScaling"], {"epistasis_lam": 2.0}
+
+    def fitted(scenario, seed=42, **changes):
+        own = replace(s, split=s.split.where(F.col("scenario") == scenario), **changes)
+        return trained.persist(name, own, root, seed)
+
+    trained.persist(name, replace(s, split=s.split.where("scenario = 'UnseenCombo' OR scenario = 'UnseenPert' AND fold <> 0")), root, 42)
+    fitted("UnseenCell", seed=7)
+    fitted("UnseenBoth", genes=s.genes.where(F.col("gene") != last_gene))
+    trained.persist(name, replace(s, split=s.split.where("scenario = 'UnseenPair'").withColumn("label", lost)), root, 42)
+    version = fitted("UnseenDose")
+    trained.persist(["GlobalEpistasis"], replace(s, options=now), root, 42)
+    emptied = f"{root}/coefficients/version={version}/predictor=TargetScaling/scenario=UnseenDose/fold=0"
+    tb.spark.createDataFrame([], "part string, bin string, ko string, gene string, i int, j int, weight double").write.mode("overwrite").parquet(emptied)
+    return trained.reasons([*name, "GlobalEpistasis"], s, root, 42).drop("version")
 
 
 @query("P21_roster_coverage", """

@@ -198,7 +198,10 @@ def s16(tb):
     return store.axis_fingerprint(tb.genes)
 
 
-@query("S16_split_fingerprint", None)
+@query("S16_split_fingerprint", """
+SELECT scenario, fold, bit_xor(h) AS digest, sum(h % 1000003)::BIGINT AS check_sum, count(*) AS n FROM (
+  SELECT scenario, fold, ('0x' || left(md5(concat_ws('|', length(bin), length(ko), bin, ko, label)), 15))::BIGINT AS h FROM ps) z GROUP BY 1, 2
+""")
 def s16b(tb):
     return store.split_fingerprint(tb.stage("pair_split"))
 
@@ -215,16 +218,6 @@ def s17(tb):
     return rounded(store.explode_dictionary(dicts), "score", "p")
 
 
-@query("S18_staleness", """
-SELECT scenario, fold, CASE WHEN fold = 0 THEN 'missing' WHEN fold = 1 THEN 'split changed' END AS reason FROM (SELECT DISTINCT scenario, fold FROM ps) q
-""")
-def s18(tb):
-    now = store.split_fingerprint(tb.stage("pair_split")).select(
-        "scenario", "fold", F.lit(42).alias("seed"), F.col("digest").alias("split"))
-    old = now.where("fold <> 0").withColumn("split", F.when(F.col("fold") == 1, F.lit(0).cast("bigint")).otherwise(F.col("split")))
-    return store.staleness(old, now, ["scenario", "fold"], ["seed", "split"])
-
-
 # ---- streaming --------------------------------------------------------------------------------
 def arriving(tb):
     """Cells with paired arrays, written as several files per batch label."""

@@ -20,7 +20,7 @@ HEADLINE = [
 ]
 
 
-STAGES = ["genes", "counts", "qc_cells", "half_cells", "expr", "ctrl", "bulk", "deltas", "deg", "weights",
+STAGES = ["genes", "counts", "qc_cells", "half_cells", "expr", "sums", "ctrl", "bulk", "deltas", "deg", "weights",
           "pair_split", "rect"]
 
 

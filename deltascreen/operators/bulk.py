@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
+from deltascreen.operators.entries import roll_up
 from deltascreen.operators.qc import full_coverage
 from deltascreen.operators.scale import spread
 
@@ -42,21 +43,26 @@ def dense_means(sizes: DataFrame, sums: DataFrame, keys: list[str], genes: DataF
     )
 
 
-def control_bulk(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """Control mean per bin and feature."""
-    ctrl = cells.where(labels.is_control(F.col("condition")))
-    sums = grouped_sum(expr, ctrl, ["bin"])
-    return dense_means(group_sizes(ctrl, ["bin"]), sums, ["bin"], genes)
+def control_bulk(expr: DataFrame, cells: DataFrame, genes: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """Control mean per bin and feature, from the stored ``sums`` of ``entries.moments`` where they are given."""
+    is_ctrl = labels.is_control(F.col("condition"))
+    ctrl = cells.where(is_ctrl)
+    own = grouped_sum(expr, ctrl, ["bin"]) if sums is None else roll_up(sums.where(is_ctrl), ["bin"])
+    return dense_means(group_sizes(ctrl, ["bin"]), own, ["bin"], genes)
 
 
 def half_bulk(
-    expr: DataFrame, cells: DataFrame, genes: DataFrame, min_cells: int = MIN_CELLS
+    expr: DataFrame, cells: DataFrame, genes: DataFrame, min_cells: int = MIN_CELLS, sums: DataFrame | None = None,
 ) -> DataFrame:
     """Mean per (bin, ko, half, gene) for labels with enough cells in both halves of every bin."""
     keys = ["bin", "ko", "half"]
-    named = cells.withColumnRenamed("condition", "ko")
-    kept = named.join(full_coverage(cells, min_cells), "ko", "left_semi")
-    return dense_means(group_sizes(kept, keys), grouped_sum(expr, kept, keys), keys, genes)
+    covered = full_coverage(cells, min_cells)
+    kept = cells.withColumnRenamed("condition", "ko").join(covered, "ko", "left_semi")
+    if sums is None:
+        own = grouped_sum(expr, kept, keys)
+    else:
+        own = roll_up(sums.withColumnRenamed("condition", "ko").join(covered, "ko", "left_semi"), keys)
+    return dense_means(group_sizes(kept, keys), own, keys, genes)
 
 
 def deltas(bulk: DataFrame, ctrl: DataFrame) -> DataFrame:

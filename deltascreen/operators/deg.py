@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from deltascreen.functions import labels
 from deltascreen.functions.numeric import clip, two_sided_normal_p
 from deltascreen.functions.tdist import t_two_sided_p
+from deltascreen.operators.bulk import grouped_sum
+from deltascreen.operators.entries import carries, roll_up
 from deltascreen.operators.scale import cut, spread, value_buckets
 
 # Fold change reported where a mean is zero, and the call threshold.
@@ -89,14 +91,17 @@ def rank_statistics(
     The entries are shuffled once, by (bin, feature, value bucket), each entry as one row: halves and
     the whole are told apart behind the shuffle, in place. Buckets are steps of the logarithm, so a
     feature of a hot bin is split over many tasks. Ranks inside a bucket come from one ordered window;
-    bucket totals carry the control counts below. Implicit zeros never become rows, they enter U and
+    bucket totals carry the control counts below. Entries that carry their group are not joined to cells. Implicit zeros never become rows, they enter U and
     the tie term in closed form.
     """
     ctrl = labels.is_control(F.col("condition"))
-    used = cells.select("cell_id", "bin", "half", "condition")
-    if kos is not None:
-        known = kos.select(F.col("ko").alias("condition")).withColumn("__known", F.lit(True))
-        used = used.join(known, "condition", "left").where(ctrl | F.col("__known")).drop("__known")
+    known = None if kos is None else kos.select(F.col("ko").alias("condition")).withColumn("__known", F.lit(True))
+    tested_or_control = lambda df: df if known is None else df.join(known, "condition", "left").where(ctrl | F.col("__known")).drop("__known")
+    used = tested_or_control(cells.select("cell_id", "bin", "half", "condition"))
+    if carries(expr, ["bin", "half", "condition"]):
+        entries = tested_or_control(expr.select("gene", "v", "bin", "half", "condition"))
+    else:
+        entries = expr.select("cell_id", "gene", "v").join(used, "cell_id")
     both = F.explode(F.array("half", F.lit("all")))
     sizes = (
         used.groupBy("bin", "half", "condition").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +110,7 @@ def rank_statistics(
     )
     place = ["bin", "half", "gene", "bucket"]
     hist = (
-        expr.select("cell_id", "gene", "v").join(used, "cell_id")
+        entries
         .withColumn("bucket", F.floor(F.log2("v") * STEPS_PER_OCTAVE).cast("int"))
         .repartition("bin", "gene", "bucket")
         .withColumn("half", both)
@@ -217,7 +222,7 @@ def require_one_control(cells: DataFrame) -> DataFrame:
 
 def welch_statistics(
     expr: DataFrame, cells: DataFrame, genes: DataFrame, kos: DataFrame | None = None,
-    min_cells: int = MIN_CELLS,
+    min_cells: int = MIN_CELLS, moments: DataFrame | None = None,
 ) -> DataFrame:
     """Welch t of each label against the rest of the tested labels, the rest taken as large as
     the group. The rest's moments are the pool total minus the group."""
@@ -227,12 +232,11 @@ def welch_statistics(
         named = named.join(kos.select("ko"), "ko", "left_semi")
     keys = ["bin", "half", "ko"]
     sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
-    kept = named.join(sizes.select(*keys), keys, "left_semi")
-    x = F.col("x")
-    sums = (
-        expr.select("cell_id", "gene", "x").join(kept.select("cell_id", *keys), "cell_id")
-        .groupBy(*keys, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    )
+    if moments is None:
+        sums = grouped_sum(expr, named.join(sizes.select(*keys), keys, "left_semi"), keys)
+    else:
+        sums = roll_up(moments.withColumnRenamed("condition", "ko").join(sizes.select(*keys), keys, "left_semi"), keys)
+    sums = sums.select(*keys, "gene", F.col("sx").alias("s"), F.col("sxx").alias("q"))
     totals = sums.groupBy("bin", "half", "gene").agg(F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     pool = sizes.groupBy("bin", "half").agg(F.sum("n").alias("tn"))
     full = (
@@ -259,9 +263,9 @@ def welch_statistics(
 
 def welch_test(
     expr: DataFrame, cells: DataFrame, genes: DataFrame, kos: DataFrame | None = None,
-    min_cells: int = MIN_CELLS,
+    min_cells: int = MIN_CELLS, moments: DataFrame | None = None,
 ) -> DataFrame:
-    stats = welch_statistics(expr, cells, genes, kos, min_cells)
+    stats = welch_statistics(expr, cells, genes, kos, min_cells, moments)
     return bh_rows(
         stats.withColumn("p", t_two_sided_p(F.col("t"), F.col("df"))), ["bin", "half", "ko"]
     )

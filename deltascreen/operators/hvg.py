@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deltascreen.operators.entries import carries, roll_up
 from deltascreen.operators.scale import spread
 
 SPAN = 0.3
 
 
-def moments(counts: DataFrame, cells: DataFrame, genes: DataFrame, batch: str) -> DataFrame:
-    """Zero-inclusive mean and sample variance of the counts per batch and feature."""
+def moments(counts: DataFrame, cells: DataFrame, genes: DataFrame, batch: str, sums: DataFrame | None = None) -> DataFrame:
+    """Zero-inclusive mean and sample variance of the counts per batch and feature.
+
+    From the stored ``sums`` of ``entries.moments`` where they are given; else the counts are added up.
+    """
     c = F.col("cnt").cast("double")
-    sums = (
-        counts.join(cells.select("cell_id", batch), "cell_id")
-        .groupBy(batch, "gene")
-        .agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
-    )
+    if sums is not None:
+        sums = roll_up(sums, [batch]).select(batch, "gene", F.col("sc").alias("s"), F.col("scc").alias("q"))
+    else:
+        placed = counts if carries(counts, [batch]) else counts.join(cells.select("cell_id", batch), "cell_id")
+        sums = placed.groupBy(batch, "gene").agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
     sizes = cells.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
     var = (F.coalesce("q", F.lit(0.0)) - F.col("n") * mean * mean) / F.greatest(F.col("n") - 1, F.lit(1))
@@ -63,7 +67,8 @@ def _fit_trend(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def select_hvg(
-    counts: DataFrame, cells: DataFrame, genes: DataFrame, n_top: int = 8192, batch: str | None = None
+    counts: DataFrame, cells: DataFrame, genes: DataFrame, n_top: int = 8192, batch: str | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """All features with their rank, normalised variance and the ``hvg`` flag.
 
@@ -73,12 +78,15 @@ def select_hvg(
     """
     key = batch or "__one"
     used = cells.select("cell_id", (F.col(batch) if batch else F.lit("all")).alias(key))
-    stats = moments(counts, used, genes, key)
+    if batch is None:  # one batch: entries of the cells, or all stored sums
+        counts = counts.join(used.select("cell_id"), "cell_id", "left_semi").withColumn(key, F.lit("all")) if sums is None else counts.withColumn(key, F.lit("all"))
+        sums = None if sums is None else sums.withColumn(key, F.lit("all"))
+    stats = moments(counts, used, genes, key, sums)
     schema = f"{key} string, gene string, n bigint, mean double, var double, reg_std double"
     trend = stats.groupBy(key).applyInPandas(_fit_trend, schema)
     clip_at = F.sqrt(F.col("n").cast("double")) * F.col("reg_std") + F.col("mean")
     joined = (
-        counts.join(used, "cell_id")
+        (counts if carries(counts, [key]) else counts.join(used, "cell_id"))
         .join(trend.select(key, "gene", clip_at.alias("clip")), [key, "gene"])
         .select(key, "gene", F.least(F.col("cnt").cast("double"), F.col("clip")).alias("c"))
     )

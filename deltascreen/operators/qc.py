@@ -150,13 +150,15 @@ def enforce(report: DataFrame, problem: str = "problem") -> DataFrame:
     )
 
 
-def normalise(counts: DataFrame, cells: DataFrame, depth: str = "depth", target_sum: float = 1e4) -> DataFrame:
-    """``v`` = count / depth * target_sum and ``x`` = log1p(v)."""
-    joined = counts.join(cells.select("cell_id", depth), "cell_id")
+def normalise(
+    counts: DataFrame, cells: DataFrame, depth: str = "depth", target_sum: float = 1e4, carry: list[str] | None = None,
+) -> DataFrame:
+    """``v`` = count / depth * target_sum and ``x`` = log1p(v); ``carry`` adds columns of the cell from the same join."""
+    joined = counts.join(cells.select("cell_id", depth, *(carry or [])), "cell_id")
     v = F.when(F.col(depth) > 0, depth_normalise(F.col("cnt"), F.col(depth), target_sum)).otherwise(
         F.raise_error(F.lit("cell with zero total")).cast("double")
     )
-    return joined.select("cell_id", "gene", "cnt", v.alias("v")).withColumn("x", F.log1p("v"))
+    return joined.select("cell_id", "gene", "cnt", v.alias("v"), *(carry or [])).withColumn("x", F.log1p("v"))
 
 
 def is_mito(gene: Column) -> Column:

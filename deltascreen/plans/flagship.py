@@ -18,8 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     tb = Testbed(spark, sf_dir)
     expr, cells = tb.stage("expr"), tb.stage("half_cells")
-    ctrl = cut(bulk.control_bulk(expr, tb.qc_cells, tb.genes), "ctrl")
-    deltas = cut(bulk.deltas(bulk.half_bulk(expr, cells, tb.genes), ctrl), "deltas")
+    ctrl = cut(bulk.control_bulk(expr, tb.qc_cells, tb.genes, tb.stage("sums")), "ctrl")
+    deltas = cut(bulk.deltas(bulk.half_bulk(expr, cells, tb.genes, sums=tb.stage("sums")), ctrl), "deltas")
     genes = ctrl.select("gene").distinct()
     split = cut(splits.unseen_pert(deltas.select("bin", "ko").distinct(), 5), "folds")
     screen = predictors.Screen(deltas, ctrl, genes, split)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
-from deltascreen.operators import bulk, deg, hvg, meta, metrics, predictors, qc, sampling, splits
+from deltascreen.operators import bulk, deg, entries, hvg, meta, metrics, predictors, qc, sampling, splits
 from deltascreen.plans import catalogue
 from deltascreen.sources import store
 
@@ -83,10 +83,12 @@ def preprocess(spark: SparkSession, counts: DataFrame, cells: DataFrame, recipe:
     drawn = stage("cells", lambda: sampling.assign_halves(
         sampling.downsample(kept, recipe.floor, recipe.control_cap, recipe.pert_cap), ["bin", "condition"],
         recipe.half_seed), ["half"])
+    carried = ["bin", "condition", "half"]
     expr = stage("expr", lambda: qc.normalise(
-        qc.subset(counts, drawn, genes), drawn, depth="depth"), ["x"])
-    ctrl = stage("ctrl", lambda: bulk.control_bulk(expr, drawn, genes), ["m"])
-    halves = stage("bulk", lambda: bulk.half_bulk(expr, drawn, genes), ["m"])
+        counts.join(genes.select("gene"), "gene", "left_semi"), drawn, depth="depth", carry=carried), ["x", *carried])
+    sums = stage("sums", lambda: entries.moments(expr, carried), ["sx"])
+    ctrl = stage("ctrl", lambda: bulk.control_bulk(expr, drawn, genes, sums), ["m"])
+    halves = stage("bulk", lambda: bulk.half_bulk(expr, drawn, genes, sums=sums), ["m"])
     delta = stage("deltas", lambda: bulk.deltas(halves, ctrl), ["d_all"])
     pairs = delta.select("bin", "ko").distinct()
     folds = stage("pair_split", lambda: splits.all_pair_splits(pairs, recipe.n_folds).where(

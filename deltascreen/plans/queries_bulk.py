@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels as L
-from deltascreen.operators import bulk, deg, hvg, splits
+from deltascreen.operators import bulk, deg, entries, hvg, splits
 from deltascreen.plans.registry import cte, query, r6, rounded
 
 
@@ -12,7 +12,7 @@ SELECT h.bin, h.condition, e.gene, round(sum(x), 6) + 0e0 AS sx, round(sum(x * x
 FROM fx_expr e JOIN hcells h ON h.cell_id = e.cell_id GROUP BY 1, 2, 3
 """)
 def a1(tb):
-    return rounded(bulk.grouped_sum(tb.stage("expr"), tb.qc_cells, ["bin", "condition"]), "sx", "sxx")
+    return rounded(entries.roll_up(tb.stage("sums"), ["bin", "condition"]).drop("sc", "scc"), "sx", "sxx")
 
 
 @query("A2_grouped_sum_sq", """
@@ -20,17 +20,17 @@ SELECT gene, round(sum(x), 6) + 0e0 AS sx, round(sum(x * x), 6) + 0e0 AS sxx, co
 FROM fx_expr e JOIN hcells h ON h.cell_id = e.cell_id GROUP BY gene, batch
 """)
 def a2(tb):
-    return rounded(bulk.grouped_sum(tb.stage("expr"), tb.qc_cells, ["batch"]), "sx", "sxx")
+    return rounded(entries.roll_up(tb.stage("sums"), ["batch"]).drop("sc", "scc"), "sx", "sxx")
 
 
 @query("A3_pseudobulk", "SELECT bin, ko, half, gene, round(m, 6) + 0e0 AS m, n_cells FROM bulk")
 def a3(tb):
-    return rounded(bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes), "m")
+    return rounded(bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes, sums=tb.stage("sums")), "m")
 
 
 @query("A3_control_bulk", "SELECT bin, gene, round(m, 6) + 0e0 AS m, n_cells FROM ctrl_bulk")
 def a3b(tb):
-    return rounded(bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes), "m")
+    return rounded(bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes, tb.stage("sums")), "m")
 
 
 @query("A4_deltas", """
@@ -38,8 +38,8 @@ SELECT bin, ko, gene, round(d_all, 6) + 0e0 AS d_all, round(d_first, 6) + 0e0 AS
   round(m_all, 6) + 0e0 AS m_all, round(ctrl, 6) + 0e0 AS ctrl FROM deltas
 """)
 def a4(tb):
-    b = bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes)
-    d = bulk.deltas(b, bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes))
+    b = bulk.half_bulk(tb.stage("expr"), tb.stage("half_cells"), tb.genes, sums=tb.stage("sums"))
+    d = bulk.deltas(b, bulk.control_bulk(tb.stage("expr"), tb.qc_cells, tb.genes, tb.stage("sums")))
     return rounded(d, "d_all", "d_first", "d_second", "m_all", "ctrl")
 
 
@@ -125,13 +125,13 @@ FROM (SELECT *, s / n AS mg, (ts - s) / (tn - n) AS mr,
 SELECT bin, half, ko, gene, round(t, 6) + 0e0 AS t, round(df, 5) + 0e0 AS df FROM welch
 """)
 def t4(tb):
-    w = deg.welch_statistics(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
+    w = deg.welch_statistics(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos, moments=tb.stage("sums"))
     return w.select("bin", "half", "ko", "gene", r6("t").alias("t"), r6("df", 5).alias("df"))
 
 
 @query("T4_welch_p")
 def t4b(tb):
-    w = deg.welch_test(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos)
+    w = deg.welch_test(tb.stage("expr"), tb.stage("half_cells"), tb.stage("genes"), kos=tb.kos, moments=tb.stage("sums"))
     return rounded(w, "t", "df", "p", "padj")
 
 
@@ -177,21 +177,22 @@ def t9(tb):
 
 @query("Q14_hvg")
 def q14(tb):
-    genes = hvg.select_hvg(tb.counts, tb.qc_cells, tb.genes, n_top=15)
+    genes = hvg.select_hvg(tb.stage("expr"), tb.qc_cells, tb.genes, n_top=15, sums=tb.stage("sums"))
     return rounded(genes, "variance_norm")
 
 
 @query("Q14_hvg_batched")
 def q14b(tb):
-    return rounded(hvg.select_hvg(tb.counts, tb.qc_cells, tb.genes, n_top=15, batch="batch"), "variance_norm")
+    return rounded(hvg.select_hvg(tb.stage("expr"), tb.qc_cells, tb.genes, n_top=15, batch="batch", sums=tb.stage("sums")), "variance_norm")
 
 
 @query("Q14_moments", """
-SELECT h.batch, k.gene, round(sum(k.cnt) * 1e0 / n.n, 6) + 0e0 AS mean,
-  round((sum(k.cnt * k.cnt) - n.n * (sum(k.cnt) * 1e0 / n.n) * (sum(k.cnt) * 1e0 / n.n)) / (n.n - 1), 5) + 0e0 AS var
-FROM fx_counts k JOIN qc_cells h ON h.cell_id = k.cell_id JOIN (SELECT batch, count(*) AS n FROM qc_cells GROUP BY 1) n ON n.batch = h.batch
-GROUP BY h.batch, k.gene, n.n
+SELECT batch, gene, round(s / n, 6) + 0e0 AS mean, round((q - n * (s / n) * (s / n)) / greatest(n - 1, 1), 5) + 0e0 AS var
+FROM (SELECT b.batch, g.gene, any_value(b.n) * 1e0 AS n, coalesce(sum(m.cnt), 0) * 1e0 AS s, coalesce(sum(m.cnt * m.cnt), 0) * 1e0 AS q
+  FROM (SELECT batch, count(*) AS n FROM qc_cells GROUP BY 1) b CROSS JOIN fx_genes g
+  LEFT JOIN (SELECT h.batch, k.gene, k.cnt FROM fx_counts k JOIN qc_cells h ON h.cell_id = k.cell_id) m ON m.batch = b.batch AND m.gene = g.gene
+  GROUP BY 1, 2) z
 """)
 def q14c(tb):
-    m = hvg.moments(tb.counts, tb.qc_cells, tb.genes, "batch").where("mean > 0")
+    m = hvg.moments(tb.counts, tb.qc_cells, tb.genes, "batch", tb.stage("sums"))
     return m.select("batch", "gene", r6("mean").alias("mean"), r6("var", 5).alias("var"))

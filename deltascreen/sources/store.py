@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raised when a stage's meaning changes, so that stages written before are not read.
-VERSION = 2
+VERSION = 3
 PARTITIONS = ["dataset", "scenario", "fold", "predictor"]
 KEYS = [*PARTITIONS, "bin", "ko", "gene"]
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascreen.operators import bulk, deg, qc, sampling, splits
+from deltascreen.operators import bulk, deg, entries, qc, sampling, splits
 from deltascreen.operators.scale import cut
 
 MIN_GENES = 2
@@ -159,13 +159,17 @@ class Testbed:
         return self.half_cells
 
     def _build_expr(self):
-        return self.expr
+        """Entries with their cell's group, from the one join by cell."""
+        return qc.normalise(self.counts, self.stage("half_cells"), depth="total", carry=entries.GROUP)
+
+    def _build_sums(self):
+        return entries.moments(self.stage("expr"))
 
     def _build_ctrl(self):
-        return bulk.control_bulk(self.stage("expr"), self.stage("half_cells"), self.stage("genes"))
+        return bulk.control_bulk(self.stage("expr"), self.stage("half_cells"), self.stage("genes"), self.stage("sums"))
 
     def _build_bulk(self):
-        return bulk.half_bulk(self.stage("expr"), self.stage("half_cells"), self.stage("genes"))
+        return bulk.half_bulk(self.stage("expr"), self.stage("half_cells"), self.stage("genes"), sums=self.stage("sums"))
 
     def _build_deltas(self):
         return bulk.deltas(self.stage("bulk"), self.stage("ctrl"))

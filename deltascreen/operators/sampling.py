@@ -4,6 +4,7 @@ reproducible, independent per group, and exact at any scale."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.functions import labels
@@ -101,22 +102,45 @@ def effect_weights(
     )
 
 
-def weighted_draws(items: DataFrame, key: list[str], n_draws: int, seed: int = 42, slots: int = 1024) -> DataFrame:
-    """``n_draws`` weighted draws with replacement as a bucketed range join.
+#: Items and draws that one task walks along, on average.
+WALK = 200_000
+#: Stretches whose ends are carried in one window.
+LANE = 1024
 
-    Items become intervals on [0, 1) by running weight, seeded uniforms are points; both sides
-    carry the slot they fall into, so the range predicate runs inside an equi-join.
+
+def weighted_draws(items: DataFrame, key: list[str], n_draws: int, seed: int = 42) -> DataFrame:
+    """``n_draws`` weighted draws with replacement, in time linear in items plus draws.
+
+    Items lie on [0, 1) as intervals by running weight (in the order of their digests), draws are seeded
+    uniform points. Starts of intervals and points are one sequence: cut into as many stretches as the
+    number of rows asks for, a draw takes the last item that starts at or before it in its stretch, or else
+    the one with which the stretches before it end. No pair of an item and a draw is compared. Items with a
+    weight of zero or NULL are never drawn; without items there are no draws.
     """
     spark = items.sparkSession
-    total = scalar(items.agg(F.sum("weight")))
-    placed = cut(items.withColumn("__u", seeded_uniform(seed, *key)), "draw_items")
-    edges = running_sum(placed, [], "__u", "weight", "__to")
-    lo, hi = (F.col("__to") - F.col("weight")) / total, F.col("__to") / total
-    slot_of = lambda c: F.least(F.floor(c * slots), F.lit(slots - 1))
-    intervals = edges.select(*key, lo.alias("lo"), hi.alias("hi")).withColumn(
-        "slot", F.explode(F.sequence(slot_of(F.col("lo")), slot_of(F.col("hi"))))
-    )
-    points = spark.range(n_draws).select(
-        F.col("id").alias("draw"), seeded_uniform(seed + 1, "id").alias("u")
-    ).withColumn("slot", slot_of(F.col("u")))
-    return points.join(intervals, "slot").where("u >= lo AND u < hi").select("draw", *key)
+    weighted = items.where(F.col("weight") > 0).withColumn("__u", seeded_uniform(seed, *key))
+    placed = cut(weighted, "draw_items")
+    total, n_items = placed.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    stretches = max(1, -(-(n_items + n_draws) // WALK))
+    edges = running_sum(placed, [], "__u", "weight", "__to", n_buckets=max(2, min(10_000, n_items // WALK)))
+    item = F.struct(*key)
+    starts = cut(edges.select(((F.col("__to") - F.col("weight")) / F.lit(total)).alias("at"), F.lit(None).cast("long").alias("draw"), item.alias("item")), "draw_starts")
+    points = spark.range(n_draws if n_items else 0).select(
+        seeded_uniform(seed + 1, "id").alias("at"), F.col("id").alias("draw"), F.lit(None).cast(starts.schema["item"].dataType).alias("item"))
+    stretch = F.least(F.floor(F.col("at") * stretches), F.lit(stretches - 1)).cast("long")
+    line = starts.unionByName(points).withColumn("stretch", stretch)
+    # one row for each stretch: its last item, carried over the stretches behind it
+    ends = starts.withColumn("stretch", stretch).groupBy("stretch").agg(F.max_by("item", "at").alias("end"))
+    every = spark.range(stretches).select(F.col("id").alias("stretch")).join(ends, "stretch", "left")
+    # stretches are carried in lanes of LANE, and the few lanes (a row for each) after one another
+    lane, before = F.floor(F.col("stretch") / LANE), lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    inside = before(W.partitionBy("lane").orderBy("stretch"))
+    placed_ends = every.withColumn("lane", lane)
+    of_lanes = placed_ends.groupBy("lane").agg(F.max_by("end", F.when(F.col("end").isNotNull(), F.col("stretch"))).alias("lane_end"))
+    of_lanes = of_lanes.select("lane", F.last("lane_end", ignorenulls=True).over(before(W.partitionBy(F.lit(0)).orderBy("lane"))).alias("lane_carry"))
+    carry = placed_ends.withColumn("carry", F.last("end", ignorenulls=True).over(inside)).join(of_lanes, "lane")
+    carry = carry.select("stretch", F.coalesce("carry", "lane_carry").alias("carry"))
+    walk = W.partitionBy("stretch").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    held = line.withColumn("own", F.last("item", ignorenulls=True).over(walk)).where(F.col("draw").isNotNull())
+    drawn = held.join(carry, "stretch", "left").withColumn("taken", F.coalesce("own", "carry"))
+    return drawn.select("draw", "taken.*")

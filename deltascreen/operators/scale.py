@@ -9,14 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # parts of an axis that its entries are dealt into when groups are spread over it
 LANES = 32
-# half-width of the bracket around the middle, and the sketch's accuracy (error 1 / SKETCH)
-BRACKET, SKETCH = 0.002, 10_000
+# values of a group that are counted one by one when its median is chosen
+DIRECT = 8192
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -69,27 +70,28 @@ def hash_rank(
 
     A digest is uniform, so its first two digits cut every group, hot ones included, into 256
     equal buckets. Bucket counts (combined before the shuffle) give each bucket its starting rank;
-    rows are only sorted inside their bucket. ``df`` is read twice.
+    rows are only sorted inside their bucket. ``df`` is read twice. The keys are held as one struct,
+    which is never NULL and equal where NULLs meet, so the join with the counts and the sort inside
+    the buckets share one exchange of the rows.
     """
-    marked = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 2))
-    whole = W.partitionBy(*keys)
+    group = F.struct(F.lit(0).alias("__one"), *keys)
+    marked = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 2)).withColumn("__group", group)
+    whole = W.partitionBy("__group")
     before = whole.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        marked.groupBy(*keys, "__bucket")
+        marked.groupBy("__group", "__bucket")
         .agg(F.count(F.lit(1)).alias("__rows"))
         .select(
-            *keys, "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"),
+            "__group", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"),
             F.sum("__rows").over(whole).alias(size),
         )
     )
-    inside = W.partitionBy(*keys, "__bucket").orderBy("__digest", *tie)
-    # keys may be NULL: such rows are a group of their own
-    named = starts.withColumnsRenamed({k: f"__of_{k}" for k in [*keys, "__bucket"]})
-    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in [*keys, "__bucket"]]
+    inside = W.partitionBy("__group", "__bucket").orderBy("__digest", *tie)
     return (
-        marked.join(named, same)
+        marked.join(starts, ["__group", "__bucket"])
         .withColumn(rank, F.col("__start") + F.row_number().over(inside))
-        .drop("__digest", "__bucket", "__start", *[f"__of_{k}" for k in [*keys, "__bucket"]])
+        .drop("__digest", "__bucket", "__start", "__group")
+        .select(*df.columns, size, rank)
     )
 
 
@@ -134,42 +136,110 @@ def running_sum(
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group from partial aggregates only.
+def order_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the bits of a double as a whole number in the order of the values (zeros are one, NaN comes last).
 
-    A mergeable sketch brackets the middle between two values; one pass counts what lies below,
-    one collapses the few values inside to counts, and only those are sorted. A sketch that
-    missed the middle would fail the job, never shift the result. ``df`` is read three times.
+    Scaling by powers of two is exact, so no bit is lost. The steps are columns of their own, so that none
+    is written out more than once in the plan.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    ends = F.percentile_approx("__v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), F.lit(SKETCH))
-    bracket = rows.groupBy(*keys).agg(ends.alias("__e"))
-    framed = rows.join(bracket, keys) if keys else rows.withColumn("__e", scalar(bracket))
-    low, high = F.col("__e")[0], F.col("__e")[1]
-    n = F.count(F.lit(1))
-    place = framed.groupBy(*keys).agg(
-        F.count_if(F.col("__v") < low).alias("__below"),
-        F.floor((n - 1) / 2).alias("__lo"), F.floor(n / 2).alias("__hi"),
+    a, one = F.abs(F.col(value)), float(1 << 52)
+    special = F.isnan(value) | (a == float("inf"))
+    normal = ~special & (a >= 2.2250738585072014e-308)
+    two = lambda e: F.pow(F.lit(2.0), e)
+    near, safe = F.col("__near"), F.col("__safe")
+    # the logarithm is rounded, so beside a power of two it can be one off
+    e = F.when(two(near) > safe, near - 1).when((near < 1023) & (two(near + 1) <= safe), near + 1).otherwise(near)
+    df = df.withColumn("__safe", F.when(normal, a).otherwise(1.0))
+    df = df.withColumn("__near", F.least(F.floor(F.log2("__safe")).cast("double"), F.lit(1023.0))).withColumn("__e", e)
+    size = (
+        F.when(special, F.lit(2047 << 52) + F.isnan(value).cast("long"))
+        .when(normal, (F.col("__e") + 1023).cast("long") * F.lit(1 << 52) + ((safe / two(F.col("__e")) - 1.0) * one).cast("long"))
+        .otherwise((F.when(special | normal, 0.0).otherwise(a) / F.lit(5e-324)).cast("long"))
     )
-    ties = framed.where(F.col("__v").between(low, high)).groupBy(*keys, "__v").agg(n.alias("__c"))
-    order = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    run = ties.withColumn("__run", F.sum("__c").over(order))
-    if keys:
-        run = run.join(place, keys)
+    df = df.withColumn("__size", size).withColumn(out, F.when(F.col(value) < 0, -F.col("__size")).otherwise(F.col("__size")))
+    return df.drop("__safe", "__near", "__e", "__size")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group by radix selection on the order-preserving bits of the values.
+
+    A round counts the values by their next 16 bits (combined before the shuffle) and keeps, for each
+    group, the at most two prefixes in which the middle lies: at most 131,072 counts a group. Once no
+    group's prefixes hold more than ``DIRECT`` values, these are counted by all their bits and the middle is
+    there. Only counts are summed in order, group by group. ``df`` is read twice: the first round and the second, which
+    writes what is left where that is much. An empty input has no group, or a NULL median where ``keys`` is
+    empty. NULLs are left out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = order_bits(rows, "__v", "__bits")
+    if not keys:
+        return _one_median(rows, out)
+    before, shift = 64, 48
+    middle = _stored_middle(rows, keys, None, before, shift)
+    while shift:
+        left = middle.agg(F.max(F.col("__m.lo.n") + F.col("__m.hi.n"))).first()[0]
+        if left is None:
+            break
+        before, shift = shift, 0 if left <= DIRECT else shift - 16
+        of = middle.select(*[F.col(k).alias(f"__of_{k}") for k in keys], "__m")
+        rows = rows.join(of, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+        rows = rows.where(F.shiftright("__bits", before).isin(F.col("__m.lo.p"), F.col("__m.hi.p"))).select(*keys, "__v", "__bits")
+        rows = cut(rows, "median-candidates") if shift else rows
+        middle = _stored_middle(rows, keys, middle, before, shift)
+    return middle.select(*keys, ((F.col("__m.lo.v") + F.col("__m.hi.v")) / 2.0).alias(out))
+
+
+def _prefix_counts(rows: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """For every group the count and least value of every prefix above ``shift``."""
+    return rows.groupBy(*keys, F.shiftright("__bits", shift).alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__v"))
+
+
+def _one_median(rows: DataFrame, out: str) -> DataFrame:
+    """The rounds for a single group: a round's counts (131,072 rows of three numbers at most) are on the driver."""
+    before, shift, places = 64, 48, None
+    while True:
+        found = _prefix_counts(rows, [], shift).toArrow().sort_by("__p")
+        p, n, v = (found.column(c).to_numpy() for c in ("__p", "__n", "__v"))
+        if not len(p):
+            return rows.sparkSession.range(1).select(F.lit(None).cast("double").alias(out))
+        chosen = []
+        for parent, rank in places or [(None, (n.sum() - 1) // 2), (None, n.sum() // 2)]:
+            low = 0 if parent is None else int(np.searchsorted(p >> (before - shift), parent))
+            upto = np.cumsum(n[low:])
+            at = int(np.searchsorted(upto, rank, side="right"))
+            chosen.append((int(p[low + at]), int(rank - upto[at] + n[low + at]), float(v[low + at]), int(n[low + at])))
+        if not shift:
+            return rows.sparkSession.range(1).select(F.lit((chosen[0][2] + chosen[1][2]) / 2.0).alias(out))
+        places = [(c[0], c[1]) for c in chosen]
+        before, shift = shift, 0 if sum(c[3] for c in chosen) <= DIRECT else shift - 16
+        rows = rows.where(F.shiftright("__bits", before).isin([c[0] for c in chosen]))
+        rows = cut(rows, "median-candidates") if shift else rows
+
+
+def _stored_middle(rows: DataFrame, keys: list[str], last: DataFrame | None, before: int, shift: int) -> DataFrame:
+    """For every group the prefixes (all bits above ``shift``) that hold the two middle values, as stored rows."""
+    counts = _prefix_counts(rows, keys, shift)
+    if last is None:
+        whole = W.partitionBy(*keys)
+        total = F.sum("__n").over(whole)
+        counts = counts.withColumns({"__parent": F.lit(0), "__lo": F.floor((total - 1) / 2), "__hi": F.floor(total / 2)})
+        mine = {"__lo": F.lit(True), "__hi": F.lit(True)}
     else:
-        one = scalar(place.select(F.struct("__below", "__lo", "__hi").alias("s")))
-        run = run.withColumn("__p", one).select("*", "__p.*")
-    upto = F.col("__below") + F.col("__run")
-    since = upto - F.col("__c")
-    hit = lambda r: ((since <= F.col(r)) & (F.col(r) < upto)).cast("int")
-    weight = hit("__lo") + hit("__hi")
-    median = F.when(
-        F.sum("__w") == 2, F.sum(F.col("__v") * F.col("__w")) / F.lit(2.0)
-    ).otherwise(F.raise_error(F.lit("median outside its bracket")).cast("double"))
-    result = run.withColumn("__w", weight).groupBy(*keys).agg(median.alias(out), n.alias("__n"))
-    # an empty input has no group (keyed) or a NULL median (global)
-    return result.select(*keys, out) if keys else result.select(
-        F.when(F.col("__n") > 0, F.col(out)).alias(out))
+        of = last.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__m").alias("__last"))
+        counts = counts.join(of, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+        counts = counts.withColumns({
+            "__parent": F.shiftright("__p", before - shift), "__lo": F.col("__last.lo.r"), "__hi": F.col("__last.hi.r")})
+        mine = {f"__{w}": F.col("__parent") == F.col(f"__last.{w}.p") for w in ("lo", "hi")}
+    run = F.sum("__n").over(W.partitionBy(*keys, "__parent").orderBy("__p").rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("__upto", run)
+    since = F.col("__upto") - F.col("__n")
+
+    def place(rank: str) -> Column:
+        here = mine[rank] & (since <= F.col(rank)) & (F.col(rank) < F.col("__upto"))
+        one = F.struct((F.col(rank) - since).alias("r"), F.col("__p").alias("p"), F.col("__v").alias("v"), F.col("__n").alias("n"))
+        return F.max(F.when(here, one))
+
+    return cut(counts.groupBy(*keys).agg(F.struct(place("__lo").alias("lo"), place("__hi").alias("hi")).alias("__m")), "median-places")
 
 
 def tile(rank: Column, size: Column, n: int) -> Column:

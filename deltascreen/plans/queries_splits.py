@@ -81,7 +81,16 @@ def d6(tb):
     return w.withColumn("weight", r6("weight"))
 
 
-@query("D7_weighted_draws")
+cte("draw_items", f"""
+SELECT cell_id, n_genes * 1e0 AS weight, sum(n_genes * 1e0) OVER (ORDER BY {UNIFORM.format(k="CAST(cell_id AS VARCHAR)")}) AS upto FROM cell_sum
+""")
+
+
+@query("D7_weighted_draws", f"""
+SELECT cell_id, count(*) AS n_drawn FROM (SELECT {UNIFORM.replace("42|", "43|").format(k="CAST(d AS VARCHAR)")} AS u
+    FROM (SELECT unnest(range((SELECT count(*) * 5 FROM orders))) AS d) q) p
+ASOF JOIN (SELECT cell_id, (upto - weight) / (SELECT sum(weight) FROM draw_items) AS lo FROM draw_items) i ON p.u >= i.lo GROUP BY 1
+""")
 def d7(tb):
     """5 draws per order, weighted by its number of line items."""
     items = tb.totals.select("cell_id", F.col("n_genes").cast("double").alias("weight"))

@@ -47,14 +47,21 @@ class WordTokenizer:
 
     White space never is in a token of this kind of vocabulary, so a text's ids are its words' ids in
     a row. Words are looked up in a cache of bounded size. A word of the first 256 code points is
-    split by the pre-token pattern here, any other word by the tokenizer itself.
+    split by the pre-token pattern here, any other word by the tokenizer itself. Markers of the
+    vocabulary (such as ``<|endoftext|>``) have one id, as in the tokenizer as loaded: the text is
+    parted at them first, leftmost and longest, and the stretches between are coded on their own.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("only markers that stand for themselves are supported")
+        self.markers = {t.content: self._pack([i]) for i, t in added.items()}
+        longest_first = sorted(self.markers, key=len, reverse=True)
+        self.parted = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if added else lambda text: [text]
         self.split = re.compile(PRETOKEN).findall
         self.letters = byte_letters()
         self.limit = limit
@@ -62,6 +69,14 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        parts = self.parted(text)
+        if len(parts) == 1:
+            return self._plain(text)
+        # odd places hold the markers
+        return b"".join(self.markers[part] if i % 2 else self._plain(part) for i, part in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a stretch without markers."""
         try:
             text.encode("latin-1")
             text = text.lower()

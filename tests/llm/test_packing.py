@@ -59,13 +59,26 @@ def test_empty(none):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "Zz", "'s", "'LL", "É", "½", "²", "12", "...", "\x85", "\xa0", "\x1c", " ", "\n", "ß", "ª", "×", "œ", "İ", "ΑΣ", "’", "漢", "<|endoftext|>", "_", "\x00", "ſ", "ﬁ"]), max_size=14))
+@given(st.lists(st.sampled_from(["a", "Zz", "'s", "'LL", "É", "½", "²", "12", "...", "\x85", "\xa0", "\x1c", " ", "\n", "ß", "ª", "×", "œ", "İ", "ΑΣ", "’", "漢", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "_", "\x00", "ſ", "ﬁ"]), max_size=14))
 def test_words_have_the_ids_of_the_whole_text(parts):
     text = "".join(parts)
     words = test_words_have_the_ids_of_the_whole_text.__dict__.setdefault("words", packing.WordTokenizer(PATH))
     assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_markers_have_one_id_as_in_the_tokenizer_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|startoftext|>Œuvre<|endoftext|>", "<|endoftext|>" * 3000, "<|<|endoftext|>|> <|EndOfText|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.pack(docs, PATH, with_ids=True).orderBy("doc_id", "piece").collect()
+    for i, text in enumerate(texts):
+        ids = [x for r in found if r.doc_id == i for x in r.ids]
+        assert ids == [*loaded.encode(text, add_special_tokens=False).ids, 0]
+    assert [x for r in found if r.doc_id == 0 for x in r.ids] == [320, 49407, 321, 0]
+
+
 def test_crossover_keeps_every_document_once():
     rng = np.random.default_rng(1)
     problem = packing.Packing(rng.integers(1, 2048, 500), 2048)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 512
 TOL = 1e-9
+#: Folds that one word of a bit set holds.
+FOLD_BITS = 62
 
 
 def pack(table: DataFrame, keys: list[str], values: dict[str, str], axis: str = "gene") -> DataFrame:
@@ -50,6 +52,15 @@ def centred(a: Column) -> Column:
     return F.transform(a, lambda x: x - mean)
 
 
+def fold_bits(n_folds: int, number: Column, marked: Column | bool = True) -> Column:
+    """Aggregate: the set of the fold numbers of the marked rows, as words of ``FOLD_BITS`` bits."""
+    word, bit = F.floor(number / FOLD_BITS), F.lit(1).cast("bigint")
+    marked = F.lit(marked) if isinstance(marked, bool) else marked
+    one = F.call_function("shiftleft", bit, (number % FOLD_BITS).cast("int"))
+    words = range(max(1, -(-n_folds // FOLD_BITS)))
+    return F.array(*[F.coalesce(F.bit_or(F.when(marked & (word == w), one)), F.lit(0).cast("bigint")) for w in words])
+
+
 def _blocked(df: DataFrame, group: list[str], id_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     n_blocks = df.groupBy(*group).agg(
         F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__nb")
@@ -137,3 +148,38 @@ def correlation_kernel(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFram
         {"id": queries["id"].to_numpy(), "ref": refs["id"].to_numpy()[order][best],
          "sim": sim[np.arange(len(q)), best]}
     )
+
+
+def masked_correlation_kernel(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+    """Best references of this block for every set of folds: the similarities are computed once, whatever the number of folds.
+
+    Queries hold ``own`` and ``wide``, bit sets of the folds in which references of the same place (``place``)
+    or of any place may be chosen; references hold ``fits``, the folds that they are known in. Returns one row
+    per query and chosen reference, with the numbers of the folds (smallest name on ties).
+    """
+    order = np.argsort(refs["id"].to_numpy(), kind="stable")
+    names = refs["id"].to_numpy()[order]
+    r, q = _matrix(refs["v"])[order], _matrix(queries["v"])
+    den = np.sqrt((q * q).sum(1)[:, None] * (r * r).sum(1)[None, :] + 1e-8)
+    sim = np.round(q @ r.T / den, 9)
+    same = queries["place"].to_numpy()[:, None] == refs["place"].to_numpy()[order][None, :]
+    bits = lambda df, c: np.stack([np.asarray(v, dtype=np.int64) for v in df[c]])
+    own, wide, fits = bits(queries, "own"), bits(queries, "wide"), bits(refs, "fits")[order]
+    chosen: dict[tuple[int, int], list[int]] = {}
+    for fold in range(FOLD_BITS * fits.shape[1]):
+        word, bit = fold // FOLD_BITS, np.int64(1) << np.int64(fold % FOLD_BITS)
+        columns = np.flatnonzero(fits[:, word] & bit)
+        rows = np.flatnonzero((own[:, word] | wide[:, word]) & bit)
+        if not len(columns) or not len(rows):
+            continue
+        part = sim[np.ix_(rows, columns)]
+        narrow = (own[rows, word] & bit) != 0
+        allowed = same[np.ix_(rows, columns)] | ~narrow[:, None]
+        part = np.where(allowed, part, -np.inf)
+        at = part.argmax(1)
+        for i in np.flatnonzero(allowed.any(1)):
+            chosen.setdefault((int(rows[i]), int(columns[at[i]])), []).append(fold)
+    ids = queries["id"].to_numpy()
+    return pd.DataFrame(
+        [(ids[i], names[j], float(sim[i, j]), folds) for (i, j), folds in chosen.items()], columns=["id", "ref", "sim", "folds"]
+    )

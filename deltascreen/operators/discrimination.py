@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltascreen.operators import blocks
+from deltascreen.operators.scale import scalar
 
 
 def _schema(df: DataFrame, group: list[str], rest: str) -> str:
@@ -89,3 +90,35 @@ def nearest_reference(queries: DataFrame, references: DataFrame, group: list[str
     )
     best_first = W.partitionBy(*g, "id").orderBy(F.round("sim", 9).desc(), "ref")
     return parts.withColumn("r", F.row_number().over(best_first)).where("r = 1").select(*group, "id", "ref", "sim")
+
+
+def nearest_by_fold(queries: DataFrame, references: DataFrame, n_folds: int, size: int = blocks.BLOCK) -> DataFrame:
+    """Most correlated reference of every query in every fold it asks for: ``id, number, ref, sim``.
+
+    Both sides hold one row per profile (``id``, ``place``, ``v``), so every pair is compared once for all folds.
+    ``own`` and ``wide`` are a query's folds in which references of its own place or of any place count, ``fits`` a
+    reference's folds (bit sets, see ``blocks.fold_bits``). A query without wide folds only meets its own place;
+    the others meet the references that fit somewhere where a query asks widely, and those of their own place.
+    Ties go to the smallest name. A query with no reference in a fold has no row there.
+    """
+    every = "*"
+    q = queries.withColumn("v", blocks.centred(F.col("v"))).withColumn(
+        "pool", F.when(F.exists("wide", lambda w: w != 0), every).otherwise(F.concat(F.lit("="), "place"))
+    )
+    r = references.withColumn("v", blocks.centred(F.col("v")))
+    words = range(max(1, -(-n_folds // blocks.FOLD_BITS)))
+    asked = q.where(F.col("pool") == every)
+    union = asked.agg(F.array(*[F.coalesce(F.bit_or(F.col("wide")[w]), F.lit(0).cast("bigint")) for w in words]).alias("u"))
+    places = asked.select("place").distinct().withColumn("asked", F.lit(True))
+    fits = F.exists(F.zip_with("fits", "widely", lambda a, b: a.bitwiseAND(b)), lambda w: w != 0)
+    wide = r.join(places, "place", "left").withColumn("widely", scalar(union)).where(F.col("asked") | fits).drop("asked", "widely")
+    wide = wide.withColumn("pool", F.lit(every))
+    own = r.withColumn("pool", F.concat(F.lit("="), "place"))
+    parts = blocks.block_join(
+        q, own.unionByName(wide), ["pool"], blocks.masked_correlation_kernel,
+        "pool string, id string, ref string, sim double, folds array<int>", size,
+    )
+    best = parts.select("id", "ref", "sim", F.explode("folds").alias("number")).groupBy("id", "number").agg(
+        F.min(F.struct((-F.col("sim")).alias("far"), "ref")).alias("b")
+    )
+    return best.select("id", "number", F.col("b.ref").alias("ref"), (-F.col("b.far")).alias("sim"))

@@ -389,18 +389,19 @@ def correlated(s: Screen, state: DataFrame) -> DataFrame:
     """
     train = part(state, "reference", bin="bin", ko="ko")
     known = part(state, "profile", bin="bin", ko="ko", gene="gene", weight="d_all").drop(*FOLD)
+    folds = s.split.select(*FOLD).distinct().orderBy(*FOLD).collect()
+    numbers = s.split.sparkSession.createDataFrame(
+        [(r.scenario, r.fold, i) for i, r in enumerate(folds)], "scenario string, fold int, number int")
+    number, n = F.col("number"), len(folds)
     trained = train.select(*FOLD, "bin").distinct().withColumn("own_bin", F.lit(True))
-    queries = s.rect.join(trained, [*FOLD, "bin"], "left").select(
-        *FOLD, "bin", "ko", F.when(F.col("own_bin"), F.col("bin")).otherwise("*").alias("pool")
+    has_own = F.coalesce("own_bin", F.lit(False))
+    asks = s.rect.join(trained, [*FOLD, "bin"], "left").join(numbers, FOLD).groupBy("bin", "ko").agg(
+        blocks.fold_bits(n, number, has_own).alias("own"), blocks.fold_bits(n, number, ~has_own).alias("wide"))
+    fits = train.join(numbers, FOLD).groupBy("bin", "ko").agg(blocks.fold_bits(n, number).alias("fits"))
+    named = lambda pairs, deltas, *bits: pairs.join(blocks.pack(deltas, ["bin", "ko"], {"d_all": "v"}), ["bin", "ko"]).select(
+        pair_id().alias("id"), F.col("bin").alias("place"), *bits, "v"
     )
-    need_all = queries.where("pool = '*'").select(*FOLD).distinct()
-    refs = train.withColumn("pool", F.col("bin")).unionByName(
-        train.join(need_all, FOLD, "left_semi").withColumn("pool", F.lit("*"))
-    )
-    named = lambda pairs, deltas: pairs.join(blocks.pack(deltas, ["bin", "ko"], {"d_all": "v"}), ["bin", "ko"]).select(
-        *FOLD, "pool", pair_id().alias("id"), "v"
-    )
-    best = discrimination.nearest_reference(named(queries, s.deltas), named(refs, known), [*FOLD, "pool"])
+    best = discrimination.nearest_by_fold(named(asks, s.deltas, "own", "wide"), named(fits, known, "fits"), n).join(numbers, "number")
     (qb, qk), (rb, rk) = id_pair("id"), id_pair("ref")
     chosen = best.select(*FOLD, qb.alias("bin"), qk.alias("ko"), rb.alias("ref_bin"), rk.alias("ref_ko"))
     source = known.select(F.col("bin").alias("ref_bin"), F.col("ko").alias("ref_ko"), "gene", "d_all")

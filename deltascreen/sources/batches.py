@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,47 +46,83 @@ def to_ragged(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return packed.select("cell_id", F.col("e.token").alias("tokens"), F.col("e.cnt").alias("values"))
 
 
+def positioned_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with the split they stand in (``file``, ``start``) and a number ``at`` that rises inside it.
+
+    The number is made in the scan, and nothing is pushed below it, so two scans of the same files agree.
+    """
+    return spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+
+
 def numbered_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated lines with their 1-based line number.
+    """Tab-separated lines with their 1-based line number over all files, in the order of their names.
 
-    Line numbers need the split order, which only the RDD reader keeps.
+    Each split's lines are counted, and the counts are carried on over the splits (one row each, no more than the
+    scan itself lists). Blank lines count but are left out; absent columns are null.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    df = lines.map(lambda p: (p[1] + 1, p[0])).toDF("idx bigint, line string").where(F.trim("line") != "")
+    lines = positioned_lines(spark, path)
+    split = ["file", "start"]
+    sizes = lines.groupBy(*split).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1))
+    offset = sizes.select(*split, (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
     parts = F.split("line", "\t")
-    return df.select("idx", *[parts[i].alias(c) for i, c in enumerate(columns)])
+    return lines.where(F.trim("line") != "").join(offset, split).select(
+        (F.col("at") + F.col("shift")).alias("idx"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
 
+def coordinate_head(lines: DataFrame) -> tuple[dict, Row]:
+    """Declared field, rows, columns and entries of a coordinate matrix, and where its size line stands.
 
-def read_matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str) -> DataFrame:
+    The banner may stand in any file; the size line is the first plain line below it. The jobs stop at the first
+    hit. A missing banner, another kind of matrix (dense, pattern, complex, symmetric) or a size line that is not
+    three numbers raises ``ValueError``.
+    """
+    banner = lines.where((F.col("start") == 0) & F.lower("line").startswith("%%matrixmarket")).select("line", "file").first()
+    if banner is None:
+        raise ValueError("no file has a coordinate banner")
+    kind = banner.line.lower().split()[1:]
+    if len(kind) != 4 or kind[:2] != ["matrix", "coordinate"] or kind[2] not in ("integer", "real") or kind[3] != "general":
+        raise ValueError(f"only general coordinate matrices of integers or reals are read, not {' '.join(kind)!r}")
+    head = lines.where((F.col("start") == 0) & (F.col("file") == banner.file) & _plain("line")).first()
+    size = head.line.split() if head else []
+    if len(size) != 3 or not all(x.isdigit() for x in size):
+        raise ValueError(f"no size line of three numbers: {head.line if head else ''!r}")
+    return dict(zip(("rows", "columns", "entries"), map(int, size)), field=kind[2]), head
+
+
+def _plain(line: str) -> Column:
+    return ~F.ltrim(line).startswith("%") & (F.trim(line) != "")
+
+
+def read_matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str, check_entries: bool = True) -> DataFrame:
     """(barcode, gene, cnt) from coordinate files, oriented by the declared shape.
 
-    The size line is the first plain line of the file with the banner. A shape that fits neither
-    orientation fails.
+    A square shape is read as features by barcodes. A shape that fits neither orientation and, unless
+    ``check_entries`` is off, another number of entries than declared raise ``ValueError``; an index outside the
+    shape fails the job. Counts are whole numbers or doubles, as the banner says. Packed files are read as one split.
     """
-    raw = spark.read.text(matrix).select(
-        F.trim("value").alias("line"), "_metadata.file_name", "_metadata.file_block_start",
-        F.monotonically_increasing_id().alias("at"))
-    banner = raw.where(F.col("line").startswith("%%MatrixMarket")).select("file_name")
-    plain = ~F.col("line").startswith("%") & (F.col("line") != "")
-    head = (
-        raw.where((F.col("file_block_start") == 0) & plain).join(banner, "file_name", "left_semi")
-        .agg(F.min_by(F.struct("line", "file_name", "at"), "at").alias("h")).select("h.*").first()
-    )
+    lines = positioned_lines(spark, matrix)
+    declared, head = coordinate_head(lines)
     genes = numbered_lines(spark, features, ["gene_id", "gene", "kind"])
     cells = numbered_lines(spark, barcodes, ["barcode"])
-    n_rows, n_cols, _ = (int(x) for x in head.line.split())
-    shape = (genes.count(), cells.count())
-    if (n_rows, n_cols) == shape:
-        row_is_gene = True
-    elif (n_cols, n_rows) == shape:
-        row_is_gene = False
-    else:
-        raise ValueError(f"matrix {n_rows} x {n_cols} does not fit {shape[0]} features and {shape[1]} barcodes")
-    f = F.split("line", r"\s+")
-    is_head = (F.col("file_name") == head.file_name) & (F.col("at") == head.at)
-    triplets = raw.where(plain & ~is_head).select(
-        f[0].cast("bigint").alias("i"), f[1].cast("bigint").alias("j"), f[2].cast("bigint").alias("cnt"))
-    g, c = ("i", "j") if row_is_gene else ("j", "i")
+    shape, given = (genes.count(), cells.count()), (declared["rows"], declared["columns"])
+    if given not in (shape, shape[::-1]):
+        raise ValueError(f"matrix {given[0]} x {given[1]} does not fit {shape[0]} features and {shape[1]} barcodes")
+    is_head = (F.col("file") == head.file) & (F.col("at") == head.at)
+    entries = lines.where(_plain("line") & ~is_head)
+    if check_entries and (found := entries.count()) != declared["entries"]:
+        raise ValueError(f"{found} entries where {declared['entries']} are declared")
+    f = F.split(F.trim("line"), r"\s+")
+
+    def index(k: int, limit: int) -> Column:
+        at = f[k].cast("bigint")
+        return F.when(at.between(1, limit), at).otherwise(F.raise_error(F.concat(F.lit("index outside the matrix: "), "line")).cast("bigint"))
+
+    value = f[2].cast("bigint" if declared["field"] == "integer" else "double")
+    triplets = entries.select(index(0, given[0]).alias("i"), index(1, given[1]).alias("j"), value.alias("cnt"))
+    g, c = ("i", "j") if given == shape else ("j", "i")
     return (
         triplets.join(genes.select(F.col("idx").alias(g), "gene"), g)
         .join(cells.select(F.col("idx").alias(c), "barcode"), c)

@@ -134,14 +134,10 @@ def _register(name: str, number: int):
 for _name, _number in NUMBERS.items():
     _register(_name, _number)
 
+#: Predictors with SQL: every one but the four that solve systems (Ridge, LinearAdditive, BilinearRidge, LatentAdditive).
+BENCHMARKED = [n for n in NUMBERS if n in PREDICTIONS]
 cte("all_predictions", "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS predictor, scenario, fold, bin, ko, gene, delta FROM ({PREDICTIONS[n]}) z WHERE scenario IN {served(n)}"
-    for n in ("Zero", "Mean-over-perturbations", "Mean-over-cell-types", "Mean-over-perturbations-and-cell-types",
-              "Two-way-mean", "Additive", "Matching-mean", "Scaled-delta", "TargetScaling", "Mean+TargetScaling",
-              "Tech-duplicate", "Interp-duplicate")))
-BENCHMARKED = ["Zero", "Mean-over-perturbations", "Mean-over-cell-types", "Mean-over-perturbations-and-cell-types",
-               "Two-way-mean", "Additive", "Matching-mean", "Scaled-delta", "TargetScaling", "Mean+TargetScaling",
-               "Tech-duplicate", "Interp-duplicate"]
+    f"SELECT '{n}' AS predictor, scenario, fold, bin, ko, gene, delta FROM ({PREDICTIONS[n]}) z WHERE scenario IN {served(n)}" for n in BENCHMARKED))
 
 
 @query("P10_target_scale", "SELECT scenario, fold, round(a, 6) + 0e0 AS scale FROM tscale")

@@ -135,9 +135,14 @@ def candidate_table(spark) -> DataFrame:
 def hardest_baseline(scores: DataFrame, metric_table: DataFrame, keys: DataFrame | None = None,
                      metrics: list[str] = catalogue.HARDEST_METRICS) -> DataFrame:
     """Average rank of every candidate over the ranking metrics, best first; ``is_hardest`` marks
-    the winner of its scenario (and dataset)."""
+    the winner of its scenario (and dataset).
+
+    ``keys(bin, ko)`` are the labels that rank (all, when absent). A scenario in which nothing can be ranked
+    has one row without a rank: its default baseline, or its first candidate that is scored when the default is not.
+    """
     own = [*dataset_key(scores), "scenario"]
-    kept = scores.where((F.col("ko") != GLOBAL) & F.col("metric").isin(metrics))
+    real = scores.where(F.col("ko") != GLOBAL)
+    kept = real.where(F.col("metric").isin(metrics))
     if keys is not None:
         kept = restrict_by_keys(kept, keys)
     med = (
@@ -153,7 +158,19 @@ def hardest_baseline(scores: DataFrame, metric_table: DataFrame, keys: DataFrame
         .groupBy(*own, "predictor", "place").agg(F.avg("r").alias("avg_rank"))
     )
     first = W.partitionBy(*own).orderBy("avg_rank", "place")
-    return avg.withColumn("is_hardest", F.row_number().over(first) == 1).drop("place")
+    ranked = avg.withColumn("is_hardest", F.row_number().over(first) == 1).drop("place")
+    default = F.create_map(*[F.lit(x) for kv in catalogue.DEFAULT_BASELINE.items() for x in kv])[F.col("scenario")]
+    rest = scores.select(*own, "predictor").distinct().join(ranked.select(*own).distinct(), own, "left_anti")
+    scored = real.select(*own, "predictor").distinct().join(candidate_table(scores.sparkSession), ["scenario", "predictor"])
+    fallback = (
+        rest.select(*own).distinct().join(
+            scored.groupBy(*own).agg(F.min_by("predictor", "place").alias("first"), F.collect_set("predictor").alias("names")), own, "left")
+        .withColumn("default", default)
+        .select(*own, F.when(F.array_contains("names", F.col("default")) | F.col("first").isNull(), F.col("default"))
+                .otherwise(F.col("first")).alias("predictor"))
+    )
+    return ranked.unionByName(
+        fallback.select(*own, "predictor", F.lit(None).cast("double").alias("avg_rank"), F.lit(True).alias("is_hardest")))
 
 
 # ---- summaries ---------------------------------------------------------------------------

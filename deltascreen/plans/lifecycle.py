@@ -126,12 +126,17 @@ def benchmark(
     return store.read_scores(spark, f"{root}/metrics", roster)
 
 
-def report(spark: SparkSession, scores: DataFrame, hardest: bool = False) -> dict[str, DataFrame]:
-    """Saturation, captured fraction and their clean summaries, from the stored scores."""
+def report(
+    spark: SparkSession, scores: DataFrame, hardest: bool = False, keys: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Saturation, captured fraction and their clean summaries, from the stored scores.
+
+    ``keys(bin, ko)``, the labels with a signal, choose the hardest baseline; all labels do where there are none.
+    """
     table = catalogue.metric_table(spark)
     baselines = None
     if hardest:
-        baselines = meta.hardest_baseline(scores, table).where("is_hardest").select(
+        baselines = meta.hardest_baseline(scores, table, keys).where("is_hardest").select(
             *meta.dataset_key(scores), "scenario", F.col("predictor").alias("baseline_predictor"))
     cf = meta.captured_fraction(scores, table, baselines)
     bs = meta.baseline_saturation(scores, table, baselines)

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from deltascreen.operators import meta, metrics, splits
 from deltascreen.plans import catalogue
-from deltascreen.plans.queries_metrics import HEADLINE_ROWS, K, MIN_SET, predictions, scores
+from deltascreen.plans.queries_metrics import HEADLINE, K, LOWER, MIN_SET, predictions, scores
 from deltascreen.plans.registry import cte, query, r6, rounded
 
-H = "metric NOT LIKE 'mse%'"
+H = f"metric NOT IN ({LOWER})"
 BASE_MAP = " ".join(f"WHEN '{s}' THEN '{b}'" for s, b in catalogue.DEFAULT_BASELINE.items())
 
 
@@ -16,8 +16,8 @@ def table(tb):
 
 
 cte("ctl", f"""
-SELECT p.*, n.value AS m_neg, n.n_genes_valid AS n_neg, q.value AS m_pos, b.value AS m_base, b.predictor AS baseline_predictor, {H.replace('metric', 'p.metric')} AS h,
-  CASE WHEN {H.replace('metric', 'p.metric')} THEN 1e0 ELSE 0e0 END AS perfect
+SELECT p.*, n.value AS m_neg, n.n_genes_valid AS n_neg, q.value AS m_pos, b.value AS m_base, b.predictor AS baseline_predictor, p.{H} AS h,
+  CASE WHEN p.{H} THEN 1e0 ELSE 0e0 END AS perfect
 FROM kept_scores p
 JOIN kept_scores n ON n.predictor = 'Zero' AND n.scenario = p.scenario AND n.fold = p.fold AND n.bin = p.bin AND n.ko = p.ko AND n.metric = p.metric
 JOIN kept_scores q ON q.predictor = 'Interp-duplicate' AND q.scenario = p.scenario AND q.fold = p.fold AND q.bin = p.bin AND q.ko = p.ko AND q.metric = p.metric
@@ -59,22 +59,53 @@ def b3(tb):
 CAND = " UNION ALL ".join(f"SELECT '{s}' AS scenario, '{c}' AS predictor, {i} AS place"
                           for s, cs in catalogue.CANDIDATE_BASELINES.items() for i, c in enumerate(cs))
 cte("cand", CAND)
-cte("hardest", """
-SELECT scenario, predictor, place, avg(r) AS avg_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY scenario, metric ORDER BY CASE WHEN metric LIKE 'mse%' THEN m ELSE -m END, place) AS r FROM (
-    SELECT k.scenario, k.metric, k.predictor, c.place, round(median(k.value), 9) AS m FROM kept_scores k JOIN cand c ON c.scenario = k.scenario AND c.predictor = k.predictor
-    WHERE k.metric IN ('mse_weighted', 'pearson_weighted', 'ccc_weighted', 'gsea_up', 'gsea_down') GROUP BY 1, 2, 3, 4) a) b GROUP BY 1, 2, 3
+
+
+def hardest_sql(source):
+    """Ranked candidates of every scenario, and the fallback of a scenario in which nothing can be ranked."""
+    return f"""
+SELECT scenario, predictor, avg_rank, row_number() OVER (PARTITION BY scenario ORDER BY avg_rank, place) = 1 AS is_hardest FROM (
+  SELECT scenario, predictor, place, avg(r) AS avg_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY scenario, metric ORDER BY m DESC, place) AS r FROM (
+      SELECT k.scenario, k.metric, k.predictor, c.place, round(CASE WHEN k.metric = 'mse_weighted' THEN -1 ELSE 1 END * median(k.value), 9) AS m
+      FROM {source} k JOIN cand c ON c.scenario = k.scenario AND c.predictor = k.predictor
+      WHERE k.metric IN ('mse_weighted', 'pearson_weighted', 'ccc_weighted', 'gsea_up', 'gsea_down') GROUP BY 1, 2, 3, 4) a) b GROUP BY 1, 2, 3) r
+UNION ALL SELECT k.scenario, CASE WHEN count(c.place) = 0 OR bool_or(k.predictor = CASE k.scenario {BASE_MAP} END AND c.place IS NOT NULL)
+    THEN CASE k.scenario {BASE_MAP} END ELSE min_by(k.predictor, c.place) END, NULL, true
+  FROM row_scores k LEFT JOIN cand c ON c.scenario = k.scenario AND c.predictor = k.predictor
+  WHERE NOT EXISTS (SELECT 1 FROM {source} r JOIN cand d ON d.scenario = r.scenario AND d.predictor = r.predictor WHERE r.scenario = k.scenario
+    AND r.metric IN ('mse_weighted', 'pearson_weighted', 'ccc_weighted', 'gsea_up', 'gsea_down')) GROUP BY k.scenario
+"""
+
+
+cte("hardest", hardest_sql("row_scores"))
+cte("signal_scores", """
+SELECT * FROM row_scores k WHERE EXISTS (SELECT 1 FROM fx_signal s WHERE s.e_test_p < 0.05 AND s.bin = k.bin
+  AND list_sort(string_split(s.ko, '+')) = list_sort(string_split(k.ko, '+')))
 """)
+cte("signal_hardest", hardest_sql("signal_scores"))
+
+
+@query("B4_hardest_on_signal", "SELECT scenario, predictor, round(avg_rank, 6) + 0e0 AS avg_rank, is_hardest FROM signal_hardest")
+def b4c(tb):
+    """Only the labels that pass the energy test rank; a scenario without any falls back."""
+    return rounded(meta.hardest_baseline(scores(tb), table(tb), meta.pass_keys(tb.signal, "etest")), "avg_rank")
 
 
 @query("B4_hardest_baseline", """
-SELECT scenario, predictor, round(avg_rank, 6) + 0e0 AS avg_rank, row_number() OVER (PARTITION BY scenario ORDER BY avg_rank, place) = 1 AS is_hardest FROM hardest
+SELECT scenario, predictor, round(avg_rank, 6) + 0e0 AS avg_rank, is_hardest FROM hardest
 """)
 def b4(tb):
     return rounded(meta.hardest_baseline(scores(tb), table(tb)), "avg_rank")
 
 
-@query("B4_saturation_vs_hardest", None)
+@query("B4_saturation_vs_hardest", f"""
+SELECT b.scenario, b.fold, b.bin, b.ko, b.metric, b.predictor AS baseline_predictor,
+  round(CASE WHEN b.{H} THEN (b.value - n.value) / (q.value - n.value + 1e-8) ELSE (n.value - b.value) / (n.value - q.value + 1e-8) END, 5) + 0e0 AS bs
+FROM kept_scores b JOIN hardest h ON h.is_hardest AND h.scenario = b.scenario AND h.predictor = b.predictor
+JOIN kept_scores n ON n.predictor = 'Zero' AND n.scenario = b.scenario AND n.fold = b.fold AND n.bin = b.bin AND n.ko = b.ko AND n.metric = b.metric
+JOIN kept_scores q ON q.predictor = 'Interp-duplicate' AND q.scenario = b.scenario AND q.fold = b.fold AND q.bin = b.bin AND q.ko = b.ko AND q.metric = b.metric
+""")
 def b4b(tb):
     winners = meta.hardest_baseline(scores(tb), table(tb)).where("is_hardest").select(
         "scenario", F.col("predictor").alias("baseline_predictor"))
@@ -125,8 +156,8 @@ def j2(tb):
 
 
 cte("ov", """
-SELECT scenario, bin, ko FROM (SELECT scenario, bin, ko, count(DISTINCT predictor) AS n FROM kept_scores GROUP BY 1, 2, 3) a
-JOIN (SELECT scenario AS s2, count(DISTINCT predictor) AS t FROM kept_scores GROUP BY 1) b ON b.s2 = a.scenario WHERE n = t
+SELECT scenario, bin, ko FROM (SELECT scenario, bin, ko, count(DISTINCT predictor) AS n FROM row_scores GROUP BY 1, 2, 3) a
+JOIN (SELECT scenario AS s2, count(DISTINCT predictor) AS t FROM row_scores GROUP BY 1) b ON b.s2 = a.scenario WHERE n = t
 """)
 
 
@@ -136,7 +167,9 @@ def b7(tb):
 
 
 def summary_sql(source, value, groups, medians=""):
+    """Summaries leave out the pooled rows."""
     g = ", ".join(groups)
+    source = f"(SELECT * FROM {source} WHERE ko <> '{catalogue.GLOBAL}') z"
     bins = f"(SELECT DISTINCT bin FROM {source})"
     on = " AND ".join(f"s.{x} = w.{x}" for x in groups)
     wg = ", ".join(f"w.{x}" for x in groups)
@@ -169,7 +202,7 @@ def b8(tb):
     split = tb.stage("pair_split")
     drop = metrics.score(
         predictions(tb), tb.stage("deltas"), splits.rectangle(split, "test"), tb.stage("weights"),
-        HEADLINE_ROWS, splits.test_pairs(split), "drop", K, MIN_SET)
+        HEADLINE, splits.test_pairs(split), "drop", K, MIN_SET)
     out = meta.metric_distributions(scores(tb), drop)
     return rounded(out, "mean", "median", "std", digits=5)
 
@@ -183,7 +216,7 @@ def b9(tb):
 @query("A11_coverage_summary", """
 SELECT k.scenario, k.predictor, count(DISTINCT concat(k.bin, '|', k.ko)) AS handled, any_value(t.n) - count(DISTINCT concat(k.bin, '|', k.ko)) AS not_handled,
   round(count(DISTINCT concat(k.bin, '|', k.ko)) * 1e0 / any_value(t.n), 4) AS frac
-FROM kept_scores k JOIN (SELECT scenario, count(DISTINCT concat(bin, '|', ko)) AS n FROM kept_scores GROUP BY 1) t ON t.scenario = k.scenario GROUP BY 1, 2
+FROM row_scores k JOIN (SELECT scenario, count(DISTINCT concat(bin, '|', ko)) AS n FROM row_scores GROUP BY 1) t ON t.scenario = k.scenario GROUP BY 1, 2
 """)
 def a11(tb):
     return meta.coverage_summary(scores(tb))
@@ -223,8 +256,8 @@ def b11(tb):
 SELECT d.scenario, d.bin, d.ko, d.fold, array_to_string(d.hb, ',') AS handled_by, len(d.hb) = len(e.all_p) AS in_overlap,
   array_to_string(list_transform(list_filter(e.all_p, lambda p: NOT list_contains(d.hb, p)), lambda p: concat(p, '=',
     coalesce(list_filter(f.rs, lambda r: r.predictor = p)[1].reason, 'no_valid_prediction'))), ',') AS reasons
-FROM (SELECT scenario, bin, ko, min(fold) AS fold, list_sort(list(DISTINCT predictor)) AS hb FROM kept_scores GROUP BY 1, 2, 3) d
-JOIN (SELECT scenario, list_sort(list(DISTINCT predictor)) AS all_p FROM kept_scores GROUP BY 1) e ON e.scenario = d.scenario
+FROM (SELECT scenario, bin, ko, min(fold) AS fold, list_sort(list(DISTINCT predictor)) AS hb FROM row_scores GROUP BY 1, 2, 3) d
+JOIN (SELECT scenario, list_sort(list(DISTINCT predictor)) AS all_p FROM row_scores GROUP BY 1) e ON e.scenario = d.scenario
 LEFT JOIN (SELECT ko, list({'predictor': predictor, 'reason': reason}) FILTER (reason IS NOT NULL) AS rs FROM forecast GROUP BY 1) f ON f.ko = d.ko
 """)
 def b10(tb):

@@ -11,6 +11,8 @@ TOP = catalogue.TOP_SUFFIX
 K, MIN_SET = 10, 2
 ROWKEY = "predictor, scenario, fold, bin, ko"
 P = f"PARTITION BY {ROWKEY}"
+HEADLINE = [m.name for m in catalogue.headline_metrics()]
+LOWER = f"'mse', 'mse_weighted', 'mse{TOP}', 'cosine_rank', 'var_ratio_log_error'"  # lower is better
 MASKED = "scenario NOT IN ('UnseenBoth', 'UnseenPair')"
 
 
@@ -248,14 +250,26 @@ GROUP BY 1, 2, 3, 4, 5, 6
 """)
 
 
-@query("M10_cosine_rank_by_bin", """
+cte("crank", """
 SELECT o.predictor, o.scenario, o.fold, o.bin, o.j AS ko, 'cosine_rank' AS metric, any_value(f.n) AS n_genes_valid, any_value(f.native) AS n_genes_native,
-  round((sum(CASE WHEN s.i <> o.j AND s.s > o.s + 1e-9 THEN 1 ELSE 0 END) + sum(CASE WHEN s.i <> o.j AND abs(s.s - o.s) <= 1e-9 THEN 1 ELSE 0 END) / 2e0)
-    / greatest(count(*) - 1, 1), 6) + 0e0 AS value
+  (sum(CASE WHEN s.i <> o.j AND s.s > o.s + 1e-9 THEN 1 ELSE 0 END) + sum(CASE WHEN s.i <> o.j AND abs(s.s - o.s) <= 1e-9 THEN 1 ELSE 0 END) / 2e0)
+    / greatest(count(*) - 1, 1) AS value
 FROM fsim s JOIN (SELECT * FROM fsim WHERE i = j) o ON o.predictor = s.predictor AND o.scenario = s.scenario AND o.fold = s.fold AND o.bin = s.bin AND o.j = s.j
 JOIN fnrm f ON f.predictor = o.predictor AND f.scenario = o.scenario AND f.fold = o.fold AND f.bin = o.bin AND f.ko = o.j
 WHERE f.has_any GROUP BY 1, 2, 3, 4, 5
 """)
+cte("pds_bin", f"""
+SELECT q.predictor, q.scenario, q.fold, q.bin, '{catalogue.GLOBAL}' AS ko, 'pds_cosine' AS metric, CAST(count(*) FILTER (beats = 0) AS DOUBLE) / count(*) AS value,
+  any_value(g.n) AS n_genes_valid, any_value(g.n) AS n_genes_native
+FROM (SELECT s.predictor, s.scenario, s.fold, s.bin, s.i, count(*) FILTER (s.j <> s.i AND (s.s > o.s + 1e-9 OR (s.j < s.i AND abs(s.s - o.s) <= 1e-9))) AS beats
+  FROM fsim s JOIN (SELECT * FROM fsim WHERE i = j) o ON o.predictor = s.predictor AND o.scenario = s.scenario AND o.fold = s.fold AND o.bin = s.bin AND o.i = s.i
+  GROUP BY 1, 2, 3, 4, 5) q
+JOIN (SELECT predictor, scenario, fold, bin, max(n) AS n FROM fnrm GROUP BY 1, 2, 3, 4) g
+  ON g.predictor = q.predictor AND g.scenario = q.scenario AND g.fold = q.fold AND g.bin = q.bin GROUP BY 1, 2, 3, 4
+""")
+
+
+@query("M10_cosine_rank_by_bin", f"SELECT {ROWKEY}, metric, n_genes_valid, n_genes_native, round(value, 6) + 0e0 AS value FROM crank")
 def m10b(tb):
     return rounded(metrics.pool_metrics(frame(tb), ["cosine_rank"]), "value")
 
@@ -400,21 +414,25 @@ def m20(tb):
 RAW = f"{ROWKEY}, metric, value, n AS n_genes_valid, native AS n_genes_native"
 cte("m21", "\nUNION ALL\n".join(
     f"SELECT {RAW} FROM ({PARTS[b]}) z WHERE metric IN ('mse', 'pearson', 'mse_weighted', 'pearson_weighted', 'r2', 'ccc', 'ccc_weighted', 'r2_weighted', 'gsea_up', 'gsea_down', 'frac_correct_direction', 'mse{TOP}', 'pearson{TOP}')"
-    for b in ("mse", "pearson", "r2", "ccc", "frac_correct_direction", "gsea_up", "gsea_down")))
-HEADLINE_ROWS = ["mse", "pearson", "mse_weighted", "pearson_weighted", "r2", "r2_weighted", "ccc", "ccc_weighted",
-                 "gsea_up", "gsea_down", "frac_correct_direction", "mse" + TOP, "pearson" + TOP]
-cte("kept_scores", """
+    for b in ("mse", "pearson", "r2", "ccc", "frac_correct_direction", "gsea_up", "gsea_down"))
+    + f"\nUNION ALL SELECT {ROWKEY}, metric, value, n_genes_valid, n_genes_native FROM crank")
+cte("row_scores", """
 SELECT m.* FROM m21 m JOIN ps s ON s.scenario = m.scenario AND s.fold = m.fold AND s.bin = m.bin AND s.ko = m.ko AND s.label = 'test'
 """)
+cte("pool_scores", f"""
+SELECT {ROWKEY}, metric, value, n_genes_valid, n_genes_native FROM pds_bin
+UNION ALL SELECT predictor, scenario, fold, '{catalogue.GLOBAL}', '{catalogue.GLOBAL}', 'var_ratio_log_error', value, n, n FROM var_ratio
+""")
+cte("kept_scores", "SELECT * FROM row_scores UNION ALL SELECT * FROM pool_scores")
 
 
 def scores(tb):
-    """Headline row metrics of every benchmarked predictor on its test pairs."""
+    """All headline metrics of every benchmarked predictor: rows of its test pairs, and pools over the rectangle."""
     def build():
         split = tb.stage("pair_split")
         return metrics.score(
             predictions(tb), tb.stage("deltas"), splits.rectangle(split, "test"), tb.stage("weights"),
-            HEADLINE_ROWS, splits.test_pairs(split), "fill", K, MIN_SET)
+            HEADLINE, splits.test_pairs(split), "fill", K, MIN_SET)
 
     return tb.stage("scores", build)
 
@@ -424,17 +442,13 @@ def m21(tb):
     return rounded(scores(tb), "value")
 
 
-@query("M21_headline_pools", None)
+@query("M21_headline_pools", f"SELECT {ROWKEY}, metric, round(value, 6) + 0e0 AS value, n_genes_valid, n_genes_native FROM pool_scores")
 def m21b(tb):
-    split = tb.stage("pair_split")
-    out = metrics.score(
-        predictions(tb), tb.stage("deltas"), splits.rectangle(split, "test"), tb.stage("weights"),
-        [m.name for m in catalogue.headline_metrics()], splits.test_pairs(split), "fill", K, MIN_SET)
-    return rounded(out, "value")
+    return rounded(scores(tb).where(F.col("ko") == catalogue.GLOBAL), "value")
 
 
-@query("M22_metric_catalogue", """
-SELECT metric, metric NOT LIKE 'mse%' AS higher_is_better, CASE WHEN metric LIKE 'mse%' THEN 0e0 ELSE 1e0 END AS perfect,
+@query("M22_metric_catalogue", f"""
+SELECT metric, metric NOT IN ({LOWER}) AS higher_is_better, CASE WHEN metric IN ({LOWER}) THEN 0e0 ELSE 1e0 END AS perfect,
   count(*) AS n_rows, round(avg(value), 6) + 0e0 AS mean FROM kept_scores GROUP BY 1
 """)
 def m22(tb):

@@ -195,8 +195,8 @@ DROPPING = [p.name for p in predictors.REGISTRY.values() if p.has_drop_rule]
 
 @query("V19_full_coverage", f"""
 SELECT 'full_coverage' AS check, concat(k.scenario, '/', k.predictor) AS scope, count(DISTINCT concat(k.fold, '|', k.bin, '|', k.ko)) = any_value(t.n) AS ok,
-  CAST(count(DISTINCT concat(k.fold, '|', k.bin, '|', k.ko)) AS VARCHAR) AS detail FROM kept_scores k
-JOIN (SELECT scenario, count(DISTINCT concat(fold, '|', bin, '|', ko)) AS n FROM kept_scores GROUP BY 1) t ON t.scenario = k.scenario
+  CAST(count(DISTINCT concat(k.fold, '|', k.bin, '|', k.ko)) AS VARCHAR) AS detail FROM row_scores k
+JOIN (SELECT scenario, count(DISTINCT concat(fold, '|', bin, '|', ko)) AS n FROM row_scores GROUP BY 1) t ON t.scenario = k.scenario
 WHERE k.predictor NOT IN ({', '.join(f"'{d}'" for d in DROPPING)}) GROUP BY k.scenario, k.predictor
 """)
 def v19(tb):

@@ -111,3 +111,24 @@ def test_faulty_files_raise(spark, matrix, text, message):
 def test_an_index_outside_the_shape_fails_the_job(spark, matrix):
     with pytest.raises(PySparkException, match="outside the matrix"):
         batches.read_matrix_market(spark, *matrix(BANNER + "2 2 1\n3 1 1\n", barcodes="c1\nc2\n")).collect()
+
+
+def test_hardest_baseline_falls_back(spark):
+    from deltascreen.operators import meta
+    from deltascreen.plans import catalogue
+
+    default, candidates = catalogue.DEFAULT_BASELINE, catalogue.CANDIDATE_BASELINES
+    first, second = candidates["UnseenPair"][:2]
+    rows = [("UnseenPair", p, "b", k, "pearson_weighted", v) for p, k, v in [(first, "x", 0.1), (second, "x", 0.2), (first, "y", 0.9), (second, "y", 0.3)]]
+    rows += [("UnseenPert", default["UnseenPert"], "b", "x", "mse", 0.5), ("UnseenCell", "Zero", "b", "x", "pearson_weighted", 0.5)]
+    other = next(c for c in candidates["UnseenBoth"] if c != default["UnseenBoth"]) if len(candidates["UnseenBoth"]) > 1 else None
+    rows += [("UnseenBoth", other, "b", "x", "mse", 0.5)] if other else []
+    scores = spark.createDataFrame([(s, 0, *r) for s, *r in rows], "scenario string, fold int, predictor string, bin string, ko string, metric string, value double")
+    table = catalogue.metric_table(spark)
+    winner = lambda keys: {r.scenario: (r.predictor, r.avg_rank) for r in meta.hardest_baseline(scores, table, keys).where("is_hardest").collect()}
+    want = {"UnseenPert": (default["UnseenPert"], None), "UnseenCell": (default["UnseenCell"], None)} | ({"UnseenBoth": (other, None)} if other else {})
+    assert winner(None) == want | {"UnseenPair": (first, 1.0)}
+    only = spark.createDataFrame([("b", "x")], "bin string, ko string")
+    assert winner(only) == want | {"UnseenPair": (second, 1.0)}
+    nothing = default["UnseenPair"] if default["UnseenPair"] in (first, second) else first
+    assert winner(only.where("false")) == want | {"UnseenPair": (nothing, None)}

@@ -5,11 +5,12 @@ of the cluster centres of their label; a cluster is a shard, cut into chunks of
 Each chunk gets a flat graph whose edges are robust-pruned: a near neighbour is dropped when a kept
 one is much nearer to it. The adjacency lists of a class from all its shards are united. Chunks of a
 shard meet in pairs: every class of one searches the graph of the other greedily from its medoid,
-then expands everything within range. Links are the pairs whose cosine in double precision reaches
-the threshold. A pair is counted in its first common shard only, so no list of pairs is needed; one
-that shares several shards is compared there in full, so no link that another shard's search finds is
-lost. An audit compares one class in ``AUDITED`` with all others; the search widens while it misses too much
-or the audit saw no link, and fails when the widest one still misses too much.
+then expands everything within range. Links are the visited pairs whose cosine in double precision
+reaches the threshold; nothing else is compared. A link whose ends share one shard is counted where
+it is found. One whose ends share several may be found in each of them: it is written as a row, rows
+of a pair are made one, and count after that, so any of the shards may find it. An audit compares one
+class in ``AUDITED`` with all others; the search widens while it misses too much or the audit saw no
+link, and fails when the widest one still misses too much.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from deltascreen.llm.components import connected_components, forest
 
 THRESHOLD = 0.93
 #: Classes that a cluster has on average, and that a chunk has; clusters and sampled classes at most.
-CLUSTER, CHUNK, MAX_CLUSTERS, SAMPLE = 1024, 1024, 4096, 40_000
+CLUSTER, CHUNK, MAX_CLUSTERS, SAMPLE = 768, 2048, 4096, 40_000
+#: Numbers that the sampled classes have together at most.
+SAMPLE_CELLS = 1 << 23
 #: Neighbours of a node, near and far candidates for them, and the slack with which a near one replaces a far one.
 DEGREE, CANDIDATES, FAR, ALPHA = 16, 64, 32, 1.2
-#: Nodes that a greedy search keeps, and how far below the threshold the range search goes on.
-BEAM, SLACK = 32, 0.05
+#: Nodes that a greedy search keeps, the part of them that it expands at once, and how far below the threshold the range search goes on.
+BEAM, STEP, SLACK = 32, 8, 0.05
+#: Queries that search at once, and what single precision may err by on the way (links are taken in double).
+QUERIES, ERROR = 512, 1e-4
 #: Shards of a class in the first attempt and in the next ones, mean share of a class's links wanted.
 OVERLAP, RECALL = (2, 4, 8), 0.97
 #: One class in so many is in the audit, more where that makes too few; classes that are compared at once.
@@ -69,14 +74,17 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 def _centres(every: DataFrame) -> dict[str, np.ndarray]:
     """Cluster centres of each space, from a sample of at most ``SAMPLE`` classes (lowest hashes)."""
     sizes = {r.space: r["count"] for r in every.groupBy("space").count().orderBy(F.desc("count"), "space").limit(MAX_CLUSTERS).collect()}
-    sample = every.orderBy(F.xxhash64("class")).limit(SAMPLE).select("space", "vector").collect()
+    longest = every.agg(F.max(F.size("vector"))).first()[0] or 1
+    limit = max(1, min(SAMPLE, SAMPLE_CELLS // longest))
+    sample = every.orderBy(F.xxhash64("class")).limit(limit).select("space", "vector").toArrow()
+    space_of = np.array(sample.column("space").to_pylist(), dtype=object)
     total, rng, centres = sum(sizes.values()), np.random.default_rng(SEED), {}
     for space, size in sizes.items():
-        own = [r.vector for r in sample if r.space == space]
+        own = np.flatnonzero(space_of == space)
         k = min(len(own) // 4, max(1, math.ceil(size / CLUSTER)), max(1, MAX_CLUSTERS * size // total))
         if k < 2:
             continue
-        x = _unit(own)
+        x = _matrix(sample.column("vector").take(pa.array(own)))
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(10):
             near = (x @ c.T).argmax(axis=1)
@@ -94,12 +102,12 @@ def _members(every: DataFrame, centres: dict[str, np.ndarray], overlap: int) ->
 
     def run(batches):
         for batch in batches:
-            spaces, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            spaces = batch.column(1).to_pylist()
             shards: list[list[int]] = [[0]] * len(spaces)
             for space in set(spaces) & shared.value.keys():
                 at = [i for i, s in enumerate(spaces) if s == space]
                 c = shared.value[space]
-                near = np.argsort(-(_unit([vectors[i] for i in at]) @ c.T), axis=1, kind="stable")[:, : min(overlap, len(c))]
+                near = np.argsort(-(_matrix(batch.column(2).take(pa.array(at))) @ c.T), axis=1, kind="stable")[:, : min(overlap, len(c))]
                 for i, own in zip(at, np.sort(near, axis=1), strict=True):
                     shards[i] = own.tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], names=["class", "space", "vector", "n", "shards"])
@@ -111,12 +119,14 @@ def _members(every: DataFrame, centres: dict[str, np.ndarray], overlap: int) ->
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
     """Neighbours of every row of ``x``: near first, but not those much nearer to a kept one."""
     n = len(x)
-    likeness = x @ x.T
-    np.fill_diagonal(likeness, -2)
     width = min(CANDIDATES, n - 1)
     if width <= 0:
         return [np.zeros(0, dtype=np.int64) for _ in range(n)]
-    near = np.argpartition(-likeness, width - 1, axis=1)[:, :width]
+    x = x.astype(np.float32)
+    likeness = x @ x.T
+    np.fill_diagonal(likeness, -2)
+    some = [likeness[at : at + QUERIES] for at in range(0, n, QUERIES)]
+    near = np.concatenate([np.argpartition(-part, width - 1, axis=1)[:, :width] for part in some])
     # far candidates keep dense groups joined to each other and to the rest
     other = np.random.default_rng(SEED).integers(1, n, (n, FAR))
     near = np.concatenate([near, (np.arange(n)[:, None] + other) % n], axis=1)
@@ -155,94 +165,166 @@ def _graphs(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("space", "shard", "chunk").applyInArrow(run, "class long, neighbours array<long>")
 
 
-def search(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, threshold: float, beam: int) -> np.ndarray:
-    """Cosines of the queries with the nodes that a greedy, then range-expanding search visits (-2: none).
-
-    ``lists`` are the neighbours of each node of ``x``, filled up with the node itself.
-    """
-    seen = np.full((len(queries), len(x)), -2.0)
-    done = np.zeros(seen.shape, dtype=bool)
-
-    def visit(q: np.ndarray, node: np.ndarray) -> None:
-        step = max(1, CELLS // x.shape[1])
-        for at in range(0, len(q), step):
-            a, b = q[at : at + step], node[at : at + step]
-            seen[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
-
-    def expand(front: np.ndarray) -> None:
-        done[front] = True
-        new = np.zeros(seen.shape, dtype=bool)
-        q, node = np.nonzero(front)
-        step = max(1, CELLS // lists.shape[1])
-        for at in range(0, len(q), step):
-            new[q[at : at + step, None], lists[node[at : at + step]]] = True
-        visit(*np.nonzero(new & (seen < -1.5)))
-
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    visit(np.arange(len(queries)), np.full(len(queries), medoid))
-    beam = min(beam, len(x))
-    while True:
-        top = np.argpartition(-seen, beam - 1, axis=1)[:, :beam]
-        front = np.zeros(seen.shape, dtype=bool)
-        np.put_along_axis(front, top, True, axis=1)
-        front &= ~done & (seen > -1.5)
-        if not front.any():
-            break
-        expand(front)
-    while (front := (seen >= threshold - SLACK) & ~done).any():
-        expand(front)
-    return seen
-
-
-def _padded(ids: np.ndarray, neighbours: list) -> np.ndarray:
-    """Neighbours as places in the sorted ``ids``; those that are not there count as the node itself."""
-    width = max((len(n) for n in neighbours), default=0) or 1
-    out = np.repeat(np.arange(len(ids))[:, None], width, axis=1)
-    for i, own in enumerate(neighbours):
-        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        own = at[ids[at] == own]
+class Graph:
+    """Nodes with unit vectors ``x`` and, one after the other, the neighbours of each."""
+
+    def __init__(self, x: np.ndarray, owner: np.ndarray, heads: np.ndarray):
+        self.x, self.heads = x.astype(np.float32), heads
+        self.width = np.bincount(owner, minlength=len(x))
+        self.begin = np.cumsum(self.width) - self.width
+        self.medoid = int((self.x @ self.x.mean(axis=0)).argmax()) if len(x) else 0
+
+    @classmethod
+    def of(cls, x: np.ndarray, ids: np.ndarray, lists) -> Graph:
+        """From an Arrow column of neighbours of the sorted ``ids``; neighbours that are not there are left out."""
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        heads, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        place = np.minimum(np.searchsorted(ids, heads), len(ids) - 1)
+        known = ids[place] == heads
+        return cls(x, np.repeat(np.arange(len(ids)), sizes)[known], place[known])
+
+    def search(self, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(query, node)`` of all visited pairs whose cosine is about ``threshold`` or more."""
+        parts = [self._search(queries[at : at + QUERIES].astype(np.float32), threshold, beam) for at in range(0, len(queries), QUERIES)]
+        q = [at + p // len(self.x) for at, p in zip(range(0, len(queries), QUERIES), parts, strict=True)]
+        return np.concatenate(q), np.concatenate(parts) % len(self.x)
+
+    def _search(self, queries: np.ndarray, threshold: float, beam: int) -> np.ndarray:
+        """Greedy from the medoid, then everything in range; a pair is the number ``query * nodes + node``."""
+        n, count, low = len(self.x), len(queries), threshold - SLACK
+        seen, done = np.zeros(count * n, dtype=bool), np.zeros(count * n, dtype=bool)
+
+        def cosines(code: np.ndarray) -> np.ndarray:
+            out, step = np.empty(len(code), dtype=np.float32), max(1, CELLS // self.x.shape[1])
+            for at in range(0, len(code), step):
+                q, node = np.divmod(code[at : at + step], n)
+                out[at : at + step] = np.einsum("ij,ij->i", queries[q], self.x[node])
+            return out
+
+        def unseen(code: np.ndarray) -> np.ndarray:
+            """Neighbours of these pairs' nodes that their queries have not seen, each once, in order."""
+            done[code] = True
+            q, node = np.divmod(code, n)
+            size, out = self.width[node], [np.zeros(0, dtype=np.int64)]
+            part = (np.cumsum(size) - size) // CELLS
+            cut = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(code)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own = size[a:b]
+                at = np.arange(own.sum()) + np.repeat(self.begin[node[a:b]] - np.cumsum(own) + own, own)
+                new = np.repeat(q[a:b] * n, own) + self.heads[at]
+                new = np.sort(new[~seen[new]])
+                new = new[np.diff(new, prepend=-1) != 0]
+                seen[new] = True
+                out.append(new)
+            return np.sort(np.concatenate(out))
+
+        step, code = max(1, beam // STEP), np.arange(count) * n + self.medoid
+        seen[code] = True
+        score = cosines(code)
+        pool, value = code[:, None], score[:, None]
+        near, reached = [code[score >= low]], [score[score >= low]]
+        while True:
+            wait = np.where(done[pool] | (value == -np.inf), -np.inf, value)
+            if wait.shape[1] > step:
+                pick = np.argpartition(-wait, step - 1, axis=1)[:, :step]
+                wait, chosen = np.take_along_axis(wait, pick, axis=1), np.take_along_axis(pool, pick, axis=1)
+            else:
+                chosen = pool
+            front = chosen[wait > -np.inf]
+            if not len(front):
+                break
+            code = unseen(front)
+            score = cosines(code)
+            near.append(code[score >= low])
+            reached.append(score[score >= low])
+            q = code // n
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            more = np.zeros((count, place.max(initial=-1) + 1), dtype=np.int64)
+            worth = np.full(more.shape, -np.inf, dtype=np.float32)
+            more[q, place], worth[q, place] = code, score
+            pool, value = np.concatenate([pool, more], axis=1), np.concatenate([value, worth], axis=1)
+            if pool.shape[1] > beam:
+                best = np.argpartition(-value, beam - 1, axis=1)[:, :beam]
+                pool, value = np.take_along_axis(pool, best, axis=1), np.take_along_axis(value, best, axis=1)
+        front = np.concatenate(near)
+        front = front[~done[front]]
+        while len(front):
+            code = unseen(front)
+            score = cosines(code)
+            front = code[score >= low]
+            near.append(front)
+            reached.append(score[score >= low])
+        return np.concatenate(near)[np.concatenate(reached) >= threshold - ERROR]
+
+
+def _table(shards: list) -> np.ndarray:
+    """Lists of shards as rows of one width, filled with -1."""
+    out = np.full((len(shards), max(map(len, shards), default=1)), -1)
+    for i, own in enumerate(shards):
         out[i, : len(own)] = own
     return out
 
 
-def common(shards: list, shards2: list, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs of two lists of classes: is ``shard`` the first that they share, and do they share others."""
-    every = np.unique(np.concatenate([*shards, *shards2]))
-    left, right = (np.array([np.isin(every, own) for own in side], dtype=np.float32) for side in (shards, shards2))
-    lower = every < shard
-    return left[:, lower] @ right[:, lower].T < 0.5, left @ right.T > 1.5
+def shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of shards that each row of ``left`` shares with the same row of ``right`` (see ``_table``)."""
+    return sum((left == np.where(right[:, [k]] < 0, -2, right[:, [k]])).any(axis=1).astype(int) for k in range(right.shape[1]))
+
+
+def _found(key, table, threshold: float, beam: int):
+    """Links between the chunks of a group: a star for each linked group, and a row for each pair to be made one."""
+    sides = []
+    for c in sorted(set(table.column("chunk").to_pylist())):
+        own = table.filter(pa.array(table.column("chunk").to_numpy() == c)).sort_by("class")
+        ids, x = own.column("class").to_numpy(), _matrix(own.column("vector"))
+        sides.append((ids, x, Graph.of(x, ids, own.column("neighbours")), own.column("n").to_numpy(), _table(own.column("shards").to_pylist())))
+    if key[2].as_py() != key[3].as_py() and len(sides) < 2:
+        return None
+    (ids, x, graph, n, shards), (ids2, x2, graph2, n2, shards2) = sides[0], sides[-1]
+    a, b = graph2.search(x, threshold, beam)
+    if len(sides) == 1:
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    else:
+        back = graph.search(x2, threshold, beam)
+        a, b = np.r_[a, back[1]], np.r_[b, back[0]]
+    a, b = np.divmod(np.unique(a * len(ids2) + b), len(ids2))
+    step = max(1, CELLS // x.shape[1])
+    true = [np.einsum("ij,ij->i", x[a[k : k + step]], x2[b[k : k + step]]) >= threshold for k in range(0, len(a), step)]
+    true = np.concatenate([np.zeros(0, dtype=bool), *true])
+    a, b = a[true], b[true]
+    every = np.unique(np.concatenate([ids, ids2]))
+    left, right = np.searchsorted(every, ids[a]), np.searchsorted(every, ids2[b])
+    root = every[forest(len(every), left, right)]
+    several = shared(shards[a], shards2[b]) > 1
+    alone = ~several
+    links = np.bincount(left[alone], weights=n2[b[alone]], minlength=len(every)) + np.bincount(right[alone], weights=n[a[alone]], minlength=len(every))
+    some = np.union1d(left, right)
+    # the smaller class comes first: chunks lie the other way round in other shards
+    pair = np.array([ids[a[several]], n2[b[several]], ids2[b[several]], n[a[several]]]).reshape(4, -1)
+    turned = pair[0] > pair[2]
+    pair[:, turned] = pair[[2, 3, 0, 1]][:, turned]
+    return (
+        np.r_[every[some], pair[0]], np.r_[links[some].astype(np.int64), pair[1]], np.r_[root[some], root[left[several]]],
+        np.r_[np.full(len(some), -1), pair[2]], np.r_[np.zeros(len(some), dtype=np.int64), pair[3]],
+    )
+
+
+FOUND = "class long, links long, root long, other long, back long"
 
 
 def _meet(pairs: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """Links between two chunks of a shard: ``(class, links, root)``, a star for each linked group."""
+    """``(class, root, links)`` of the links between the chunks; a class may have several roots."""
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     def run(key, table):
-        shard = key[1].as_py()
-        chunk = table.column("chunk").to_numpy()
-        sides = []
-        for c in sorted(set(chunk.tolist())):
-            own = table.filter(pa.array(chunk == c)).sort_by("class")
-            ids = own.column("class").to_numpy()
-            lists = [np.array(n, dtype=np.int64) for n in own.column("neighbours").to_pylist()]
-            sides.append((ids, _matrix(own.column("vector")), _padded(ids, lists), own.column("n").to_numpy(), own.column("shards").to_pylist()))
-        if key[2].as_py() != key[3].as_py() and len(sides) < 2:
-            return pa.table({"class": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        (ids, x, lists, n, shards), (ids2, x2, lists2, n2, shards2) = sides[0], sides[-1]
-        found = search(x, x2, lists2, threshold, beam) >= threshold
-        found |= (search(x2, x, lists, threshold, beam) >= threshold).T if len(sides) > 1 else found.T
-        first, several = common(shards, shards2, shard)
-        found |= several & (x @ x2.T >= threshold)
-        a, b = np.nonzero(found & first)
-        lead = ids[a] < ids2[b] if len(sides) == 1 else np.ones(len(a), dtype=bool)
-        a, b = a[lead], b[lead]
-        every = np.unique(np.concatenate([ids, ids2]))
-        left, right = np.searchsorted(every, ids[a]), np.searchsorted(every, ids2[b])
-        links = np.bincount(left, weights=n2[b], minlength=len(every)) + np.bincount(right, weights=n[a], minlength=len(every))
-        root = forest(len(every), left, right)
-        some = np.flatnonzero(links)
-        return pa.table({"class": every[some], "links": links[some].astype(np.int64), "root": every[root[some]]})
-
-    return pairs.groupBy("space", "shard", "first", "second").applyInArrow(run, "class long, links long, root long")
+        columns = _found(key, table, threshold, beam)
+        return pa.table([pa.array([] if columns is None else columns[i], pa.int64()) for i in range(5)], names=names)
+
+    found = stage(pairs.groupBy("space", "shard", "first", "second").applyInArrow(run, FOUND), "embedding-found")
+    once = found.where("other >= 0").groupBy("class", "other").agg(*(F.min(c).alias(c) for c in ("links", "root", "back")))
+    stars = found.where("other < 0").select("class", "links", "root")
+    both = F.explode(F.array(F.struct("class", "links"), F.struct(F.col("other").alias("class"), F.col("back").alias("links")))).alias("end")
+    ends = once.select("root", both).select("end.class", "end.links", "root")
+    return stars.unionByName(ends).groupBy("class", "root").agg(F.sum("links").alias("links"))
 
 
 def _links(every: DataFrame, centres: dict, overlap: int, threshold: float) -> DataFrame:

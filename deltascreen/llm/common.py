@@ -59,6 +59,14 @@ def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner")
     return own.unionByName(others)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it as long as a column of ``tables`` is called like that."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import WordHasher, alnum_kind, blocks, stage, whole_text
+from deltascreen.llm.common import WordHasher, alnum_kind, blocks, stage, unused, whole_text
 
 #: Words of a seed; fewer where that is what an alignment is sure to hold.
 GRAM = 3
@@ -300,6 +300,7 @@ def clean(
 ) -> DataFrame:
     """``docs`` without the rows whose text repeats a benchmark item."""
     found = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, min_score)
-    found = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_key"))
+    own, key = unused("_id", docs), unused("_key", docs)
+    found = found.select(F.col("id").alias(own), F.col("text_key").alias(key)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text_col)) == F.col(key))
     return docs.join(found, same, "left_anti")

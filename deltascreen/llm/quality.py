@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import WordHasher, blocks, stage, whole_text
+from deltascreen.llm.common import WordHasher, blocks, stage, unused, whole_text
 
 ROW_BITS, DIMS, SPARSE, REACH = 16, 32, 2, 2
 #: Labelled rows that the network is fitted on at most (lowest hashes of their ids).
@@ -230,6 +230,7 @@ def keep_good(
 ) -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``; each row is judged by its own text."""
     scores = _scored(docs, labels, id_col, text_col, label_col, max_labelled)
-    rejected = scores.where(F.col("score") < threshold).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_key"))
+    own, key = unused("_id", docs), unused("_key", docs)
+    rejected = scores.where(F.col("score") < threshold).select(F.col("id").alias(own), F.col("text_key").alias(key)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text_col)) == F.col(key))
     return docs.join(rejected, same, "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import stage, whole_text
+from deltascreen.llm.common import stage, unused, whole_text
 
 MARK = "[SECRET]"
 
@@ -157,17 +157,18 @@ def redact(docs: DataFrame, ledger_path: str, path_col: str = "doc_id", text_col
     All columns stay; a text without findings (a null one, too) stays as it is.
     """
     update_ledger(docs, ledger_path, path_col, text_col, rules)
+    spans, rest, blob, of = (unused(n, docs) for n in ("_cuts", "_rest", "_blob", "_of"))
     each = blob_findings(read_ledger(docs.sparkSession, ledger_path), rules).select("blob", F.explode("findings").alias("f")).select("blob", "f.start", "f.end")
     before = W.partitionBy("blob").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     cuts = each.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0))).where(F.col("end") > F.col("from"))
     # a cut keeps the text from the end of the cuts before it to its own start
     cut = F.struct("from", F.greatest(F.col("start") - F.col("from"), F.lit(0)).alias("n"), (F.col("start") >= F.col("from")).alias("mark"))
-    cuts = cuts.groupBy("blob").agg(F.sort_array(F.collect_list(cut)).alias("_cuts"), F.max("end").alias("_rest"))
+    cuts = cuts.groupBy("blob").agg(F.sort_array(F.collect_list(cut)).alias(spans), F.max("end").alias(rest))
     text = F.col(text_col)
-    kept = F.transform("_cuts", lambda c: F.concat(text.substr(c["from"] + 1, c["n"]), F.when(c["mark"], F.lit(MARK)).otherwise(F.lit(""))))
-    whole = F.concat(F.array_join(kept, ""), text.substr(F.col("_rest") + 1, F.lit(2147483647)))
-    joined = docs.withColumn("_blob", blob_of(whole_text(text_col))).join(cuts.withColumnRenamed("blob", "_of"), F.col("_blob") == F.col("_of"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(whole)).select(*docs.columns)
+    kept = F.transform(spans, lambda c: F.concat(text.substr(c["from"] + 1, c["n"]), F.when(c["mark"], F.lit(MARK)).otherwise(F.lit(""))))
+    whole = F.concat(F.array_join(kept, ""), text.substr(F.col(rest) + 1, F.lit(2147483647)))
+    joined = docs.withColumn(blob, blob_of(whole_text(text_col))).join(cuts.withColumnRenamed("blob", of), F.col(blob) == F.col(of), "left")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(whole)).select(*docs.columns)
 
 
 def of_kinds(*kinds: str) -> Column:

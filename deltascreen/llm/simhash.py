@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import join_heavy, stage, whole_text
+from deltascreen.llm.common import join_heavy, stage, unused, whole_text
 from deltascreen.llm.components import connected_components, forest
 
 DISTANCE = 4
@@ -257,9 +257,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64))
 
-    marked = docs.withColumns({"_print": print_of(whole_text(text_col).cast("binary")), "_row": F.monotonically_increasing_id()})
+    own, row = unused("_print", docs), unused("_row", docs)
+    marked = docs.withColumns({own: print_of(whole_text(text_col).cast("binary")), row: F.monotonically_increasing_id()})
     marked = stage(marked, "marked")  # row numbers are those that were written
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    classes = stage(marked.groupBy(F.col("_print").alias("print")).agg(first.alias("first")), "print-classes")
-    kept = _with_roots(classes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return marked.join(kept, "_row", "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")))
+    classes = stage(marked.groupBy(F.col(own).alias("print")).agg(first.alias("first")), "print-classes")
+    kept = _with_roots(classes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import whole_text, worker_cache
+from deltascreen.llm.common import unused, worker_cache
 
 LEAF = 512
 #: A leaf that edits have made longer than so many usual ones is cut anew, with the whole tree.
@@ -70,48 +70,44 @@ class CountTree:
     def total(self) -> int:
         return int(self.tokens[1])
 
-    def leaf_at(self, place: int) -> tuple[int, int]:
-        """Leaf that holds the character at ``place`` (the last one beyond the end), and its start."""
-        node, start = 1, 0
-        place = min(place, int(self.chars[1]) - 1)
-        while node < self.base:
-            node *= 2
-            if place >= start + self.chars[node]:
-                start += int(self.chars[node])
-                node += 1
+    def leaves_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves that hold the characters at ``places`` (the last one beyond the end), and their starts."""
+        places = np.minimum(places, self.chars[1] - 1)
+        node, start = np.ones(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+        for _ in range(self.base.bit_length() - 1):
+            node = 2 * node
+            right = places >= start + self.chars[node]
+            start += np.where(right, self.chars[node], 0)
+            node += right
         return node, start
 
-    def replace(self, text: str, start: int, end: int, new: str, count) -> tuple[str, int]:
-        """Text after ``text[start:end]`` became ``new``, and the characters encoded for it."""
-        first, low = self.leaf_at(max(start - 1, 0))
-        last, high = self.leaf_at(end)
-        high += int(self.chars[last])
-        region = text[low:start] + new + text[end:high]
-        text = text[:low] + region + text[high:]
+    def put(self, first: int, last: int, region: str, count) -> bool:
+        """Set the leaves ``first`` to ``last`` to ``region``; whether one of them is far too long then."""
         parts = leaves(region)
-        room = last - first + 1
-        if len(parts) > room:
+        room, many = last - first + 1, len(parts)
+        if many > room:
             parts[room - 1 :] = ["".join(parts[room - 1 :])]
         for i in range(room):
             part = parts[i] if i < len(parts) else ""
             self.chars[first + i], self.tokens[first + i] = len(part), count(part) if part else 0
-        while first > 1:
-            first, last = first // 2, last // 2
-            for node in range(first, last + 1):
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-        if max(map(len, parts)) > OVERLONG * LEAF and len(leaves(region)) > room:
-            whole = CountTree.of(text, count)
-            self.chars, self.tokens, self.base = whole.chars, whole.tokens, whole.base
-            return text, len(text)
-        return text, len(region)
+        return many > room and max(map(len, parts)) > OVERLONG * LEAF
+
+    def add_up(self, touched: np.ndarray) -> None:
+        """Replace the sums above the leaves ``touched``, each once."""
+        node = np.unique(touched // 2)
+        while node[0]:
+            for sums in (self.chars, self.tokens):
+                sums[node] = sums[2 * node] + sums[2 * node + 1]
+            node = np.unique(node // 2)
 
 
 def apply_edits(text: str, tree: CountTree, edits, count) -> tuple[str, int, int]:
     """``(text, edits done, characters encoded)`` after edits ``(start, end, replacement)`` of ``text``.
 
     Edits are taken in order of their places in the given text. Places beyond the text count as its
-    end; an edit that begins inside the one before it begins at that one's end instead.
+    end; an edit that begins inside the one before it begins at that one's end instead. Edits that
+    touch a common leaf are done together, and the text is put together once, so that the work is
+    linear in the text and its edits.
     """
     done, last = [], 0
     for start, end, new in sorted((e[0] or 0, e[1] or 0, e[2] or "") for e in edits):
@@ -119,10 +115,31 @@ def apply_edits(text: str, tree: CountTree, edits, count) -> tuple[str, int, int
         end = min(max(end, start), len(text))
         done.append((start, end, new))
         last = end
-    encoded = 0
-    for start, end, new in reversed(done):
-        text, n = tree.replace(text, start, end, new, count)
-        encoded += n
+    if not done:
+        return text, 0, 0
+    first, low = tree.leaves_at(np.maximum(np.array([d[0] for d in done]) - 1, 0))
+    final, high = tree.leaves_at(np.array([d[1] for d in done]))
+    high = high + tree.chars[final]
+    heads = np.flatnonzero(np.r_[True, first[1:] > final[:-1]])
+    out, touched, at, encoded, overlong = [], [], 0, 0, False
+    for a, b in zip(heads, np.r_[heads[1:], len(done)], strict=True):
+        out.append(text[at : low[a]])
+        region, at = [], int(low[a])
+        for start, end, new in done[a:b]:
+            region += (text[at:start], new)
+            at = end
+        region = "".join([*region, text[at : high[b - 1]]])
+        at = int(high[b - 1])
+        out.append(region)
+        encoded += len(region)
+        overlong |= tree.put(int(first[a]), int(final[b - 1]), region, count)
+        touched.append(np.arange(first[a], final[b - 1] + 1))
+    text = "".join([*out, text[at:]])
+    if overlong:
+        whole = CountTree.of(text, count)
+        tree.chars, tree.tokens, tree.base = whole.chars, whole.tokens, whole.base
+        return text, len(done), len(text)
+    tree.add_up(np.concatenate(touched))
     return text, len(done), encoded
 
 
@@ -146,8 +163,9 @@ def with_trees(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text"
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with an array column ``edits`` from ``edits(id, start, end, replacement)``."""
+    own_id = unused("_id", docs)
     own = edits.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
-    return docs.drop("edits").join(own, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    return docs.drop("edits").join(own, F.col(id_col) == F.col(own_id), "left").drop(own_id)
 
 
 def update_counts(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltascreen.llm.common import join_heavy
+from deltascreen.llm.common import join_heavy, unused
 
 SIZES = (3, 4, 5)
 WEIGHT_BITS = 15
@@ -49,17 +49,20 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(host, path, ...)`` with ``rule`` and ``rule_verdict`` of the longest rule that fits, else null.
 
     ``rules(verdict, host, path)`` fit their host and its subdomains where the path starts with
-    theirs. Rules are looked up once for each distinct host; rows of a heavy host are not shuffled.
+    theirs. Rules are looked up once for each distinct host, by as many of its last labels as some
+    rule has; rows of a heavy host are not shuffled.
     """
+    most = rules.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 1
+    listed, chosen = unused("_rules", urls), unused("_best", urls)
     hosts = urls.select("host").distinct()
     names = F.split("host", "[.]")
-    tails = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    tails = F.transform(F.sequence(F.greatest(F.lit(1), F.size(names) - (most - 1)), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
     rule = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), F.concat("r_host", "r_path").alias("rule"), "r_path", "verdict")
     named = rules.select("verdict", F.col("host").alias("r_host"), F.col("path").alias("r_path"))
-    fits = hosts.select("host", F.explode(F.array_distinct(tails)).alias("r_host")).join(named, "r_host").groupBy("host").agg(F.collect_list(rule).alias("rules"))
-    best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["r_path"])))
-    joined = join_heavy(urls, fits, "host", "left").withColumn("_best", best)
-    return joined.withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best", "rules")
+    fits = hosts.select("host", F.explode(F.array_distinct(tails)).alias("r_host")).join(named, "r_host").groupBy("host").agg(F.collect_list(rule).alias(listed))
+    best = F.array_max(F.filter(listed, lambda r: F.startswith(F.col("path"), r["r_path"])))
+    joined = join_heavy(urls, fits, "host", "left").withColumn(chosen, best)
+    return joined.withColumns({"rule": F.col(f"{chosen}.rule"), "rule_verdict": F.col(f"{chosen}.verdict")}).drop(chosen, listed)
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:

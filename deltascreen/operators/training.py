@@ -149,7 +149,7 @@ def vocabulary_lists(condition_lists: DataFrame, vocabulary: DataFrame) -> DataF
 def covariates_to_predict(cells: DataFrame, cell_split: DataFrame, covariate: str = "bin") -> DataFrame:
     """Covariates of the test cells with the number of control cells they bring."""
     test = (
-        cell_split.where("label = 'test'").join(cells.select("cell_id", covariate), "cell_id")
+        splits.with_groups(cell_split.where("label = 'test'"), cells, [covariate])
         .select(*FOLD, covariate).distinct()
     )
     ctrl = (

@@ -140,7 +140,7 @@ SELECT s.scenario, s.fold, h.bin, h.condition AS ko, bool_or(label = 'train') AS
 """)
 def x8(tb):
     cells = tb.stage("half_cells")
-    return splits.grid_from_cells(cells, splits.cell_labels(cells, tb.stage("pair_split")))
+    return splits.grid_from_cells(cells, splits.cell_labels(cells, tb.stage("pair_split"), carry=("bin", "condition")))
 
 
 @query("X9_test_rectangle", "SELECT scenario, fold, bin, ko FROM rect")
@@ -169,7 +169,7 @@ WHERE h.condition NOT LIKE '%ctrl%' AND h.condition NOT LIKE '%*%'
 """)
 def x11(tb):
     cells = tb.stage("half_cells")
-    return splits.condition_lists(cells, splits.cell_labels(cells, tb.stage("pair_split")))
+    return splits.condition_lists(cells, splits.cell_labels(cells, tb.stage("pair_split"), carry=("bin", "condition")))
 
 
 @query("X12_available_jobs", "SELECT DISTINCT scenario, fold FROM ps")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from deltascreen.operators import sampling, scale
+from deltascreen.operators import quality, sampling, scale
 from deltascreen.operators.scale import hash_rank, tasks_for
+from deltascreen.plans.registry import all_queries
 from deltascreen.sources import testbed
 from test_layout import SF, no_broadcast, plan  # noqa: F401
 
@@ -52,3 +53,16 @@ def test_cells_and_entries_meet_without_an_exchange(spark, no_broadcast):  # noq
 def test_tasks_grow_with_the_rows(spark):
     n = spark.sparkContext.defaultParallelism
     assert tasks_for(spark, 0) == n and tasks_for(spark, 216_000_000) == 432 and tasks_for(spark, 216_000_001) == 433
+
+
+def test_completed_cells(spark):
+    cells = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "cell_id long, bin string")
+    expr = spark.createDataFrame([(1, "g", 2.0), (1, "z", 9.0), (2, "g", 1.0), (2, "h", None), (4, "g", 5.0)], "cell_id long, gene string, x double")
+    genes = spark.createDataFrame([("g",), ("h",)], "gene string")
+    got = {(r.cell_id, r.bin, r.gene): r.x for r in quality.zero_completed(cells, expr, genes).collect()}
+    assert got == {(1, "a", "g"): 2.0, (1, "a", "h"): 0.0, (2, "a", "g"): 1.0, (2, "a", "h"): 0.0, (3, "b", "g"): 0.0, (3, "b", "h"): 0.0}
+
+
+def test_bulk_agreement_does_not_exchange_completed_cells(spark):
+    df = all_queries()["V17_bulk_agreement"](spark, SF)
+    assert not any("cell_id" in line for line in exchanges(df))

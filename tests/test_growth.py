@@ -1,9 +1,12 @@
-"""What grows with the tables: rows that are exchanged, rows that one task holds."""
+"""What grows with the tables: rows that are exchanged, rows that one task holds, filters of the medians."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from deltascreen.operators import quality, sampling, scale
-from deltascreen.operators.scale import hash_rank, tasks_for
+from deltascreen.operators.scale import exact_median, hash_rank, order_bits, tasks_for
 from deltascreen.plans.registry import all_queries
 from deltascreen.sources import testbed
 from test_layout import SF, no_broadcast, plan  # noqa: F401
@@ -66,3 +69,21 @@ def test_completed_cells(spark):
 def test_bulk_agreement_does_not_exchange_completed_cells(spark):
     df = all_queries()["V17_bulk_agreement"](spark, SF)
     assert not any("cell_id" in line for line in exchanges(df))
+
+
+@pytest.mark.parametrize("direct", [0, 2, 8192])
+def test_median_of_equal_and_odd_values(spark, monkeypatch, direct):
+    monkeypatch.setattr(scale, "DIRECT", direct)
+    median = lambda v: exact_median(spark.createDataFrame([(x,) for x in v], "v double"), [], "v").collect()[0].median
+    assert median([0.0, -0.0, 0.0, 5.0]) == 0.0 and median([1.0, 1.0 + 2**-52, 3.0]) == 1.0 + 2**-52
+    assert median([-1.0, 1.0]) == 0.0 and math.isnan(median([1.0, math.nan, math.nan])) and median([math.inf, 1.0, -math.inf]) == 1.0
+
+
+def test_median_filters_the_values_themselves(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(scale, "DIRECT", 0)
+    monkeypatch.setattr(scale, "cut", lambda df, name: seen.append(df) or df)
+    exact_median(spark.range(100).select((F.col("id") / 7).alias("v")), [], "v").collect()
+    whole = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert seen and not any("LOG2" in whole(df) for df in seen)
+    assert "LOG2" in whole(order_bits(spark.range(3).select(F.col("id").cast("double").alias("v")), "v", "b"))
